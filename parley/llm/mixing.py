@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import WORD, materialise
 
 #: Mean number of documents in a block of the reduction tree, and the weights that sources get in turn.
-BLOCK, WEIGHTS = 32, (3.0, 1.0, 2.0)
+BLOCK, WEIGHTS = 128, (3.0, 1.0, 2.0)
 EPS = 1e-9
 
 
@@ -42,28 +42,36 @@ def source_targets(sizes: DataFrame, share: float, most: float, weights: tuple[f
     return per.select("source", "source_size", F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
+def _let(value: Column, use) -> Column:
+    """use(value) with the value computed once; in lambdas Spark doesn't share common expressions."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _block_reduce(items: Column, seed: int) -> Column:
     """items: array of (key, size, p), sorted. The struct (done: array of (key, p in {0, 1}), left: the fractional one or null)."""
-    zero = F.struct(F.expr("cast(array() as array<struct<key:bigint,p:double>>)").alias("done"), F.expr("cast(null as struct<key:bigint,size:bigint,p:double>)").alias("left"))
+    none = F.expr("cast(null as struct<key:bigint,size:bigint,p:double>)")
+    zero = F.struct(F.expr("cast(array() as array<struct<key:bigint,p:double>>)").alias("done"), none.alias("left"))
+    one = lambda x, p: F.struct(x["key"].alias("key"), x["size"].alias("size"), p.cast("double").alias("p"))
+    clean = lambda p: F.when(p < EPS, 0.0).when(p > 1 - EPS, 1.0).otherwise(p)
 
-    def meet(state: Column, b: Column) -> Column:
-        a = state["left"]
+    def transfer(a: Column, b: Column) -> Column:
+        """The two rows after the transfer: x and y."""
         ma, mb = a["size"] * a["p"], b["size"] * b["p"]
         # words that can move from a to b, and from b to a, before one of the two is integral
-        to_b = F.least(ma, b["size"] * (1 - b["p"]))
-        to_a = F.least(mb, a["size"] * (1 - a["p"]))
+        room = F.struct(F.least(ma, b["size"] * (1 - b["p"])).alias("to_b"), F.least(mb, a["size"] * (1 - a["p"])).alias("to_a"))
         toss = F.pmod(F.xxhash64(a["key"], b["key"], F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-        moved = F.when(toss * (to_a + to_b) < to_a, to_b).otherwise(-to_a)  # the expected words of each stay as they are
-        clean = lambda p: F.when(p < EPS, 0.0).when(p > 1 - EPS, 1.0).otherwise(p)
-        pa, pb = clean((ma - moved) / a["size"]), clean((mb + moved) / b["size"])
-        whole = lambda p: (p == 0.0) | (p == 1.0)
-        flat = lambda k, p: F.struct(k.alias("key"), p.cast("double").alias("p"))
-        full = lambda x, p: F.struct(x["key"].alias("key"), x["size"].alias("size"), p.cast("double").alias("p"))
-        none = F.expr("cast(null as struct<key:bigint,size:bigint,p:double>)")
-        both = F.struct(F.concat(state["done"], F.array(flat(a["key"], pa), flat(b["key"], pb))).alias("done"), none.alias("left"))
-        a_out = F.struct(F.concat(state["done"], F.array(flat(a["key"], pa))).alias("done"), full(b, pb).alias("left"))
-        b_out = F.struct(F.concat(state["done"], F.array(flat(b["key"], pb))).alias("done"), full(a, pa).alias("left"))
-        return F.when(a.isNull(), F.struct(state["done"].alias("done"), full(b, b["p"]).alias("left"))).when(whole(pa) & whole(pb), both).when(whole(pa), a_out).otherwise(b_out)
+        # the direction's odds leave the expected words of each as they are
+        moved = _let(room, lambda r: F.when(toss * (r["to_a"] + r["to_b"]) < r["to_a"], r["to_b"]).otherwise(-r["to_a"]))
+        return _let(moved, lambda m: F.struct(one(a, clean((ma - m) / a["size"])).alias("x"), one(b, clean((mb + m) / b["size"])).alias("y")))
+
+    def meet(state: Column, b: Column) -> Column:
+        def settle(two: Column) -> Column:
+            pair = F.array(two["x"], two["y"])
+            whole = lambda r: (r["p"] == 0.0) | (r["p"] == 1.0)
+            done = F.transform(F.filter(pair, whole), lambda r: F.struct(r["key"].alias("key"), r["p"].alias("p")))
+            return F.struct(F.concat(state["done"], done).alias("done"), F.try_element_at(F.filter(pair, lambda r: ~whole(r)), F.lit(1)).alias("left"))
+
+        return F.when(state["left"].isNull(), F.struct(state["done"].alias("done"), one(b, b["p"]).alias("left"))).otherwise(_let(transfer(state["left"], b), settle))
 
     return F.aggregate(items, zero, meet)
 
@@ -72,7 +80,8 @@ def pivotal_round(rows: DataFrame, seed: int) -> DataFrame:
     """(source, key, size, p) with 0 < p < 1 and size > 0 to (key, p in {0, 1}).
 
     Blocks are dealt by a hash of the key, so reruns agree and a hot source has more blocks, not larger
-    ones. At the top, where a source has one fractional row left, it is rounded by its probability."""
+    ones. Long documents meet first, so that the residual is short. At the top, where a
+    source has one fractional row left, that row is rounded to the nearer side."""
     done, level = [], 0
     rows = rows.select("source", F.col("key").cast("long").alias("key"), F.col("size").cast("long").alias("size"), "p")
     while True:
@@ -82,12 +91,11 @@ def pivotal_round(rows: DataFrame, seed: int) -> DataFrame:
             break
         blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
         dealt = rows.join(counts.withColumnRenamed("source", "s"), rows["source"].eqNullSafe(F.col("s"))).withColumn("block", F.pmod(F.xxhash64("key", F.lit(seed + level)), blocks))
-        met = dealt.groupBy("source", "block").agg(F.array_sort(F.collect_list(F.struct("key", "size", "p"))).alias("items"))
+        met = dealt.groupBy("source", "block").agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("last"), "key", "size", "p"))).alias("items"))
         met = materialise(met.select("source", _block_reduce(F.col("items"), seed + level).alias("r")), "pivotal")
         done.append(met.select(F.explode("r.done").alias("d")).select("d.key", "d.p"))
         rows, level = met.where("r.left is not null").select("source", "r.left.key", "r.left.size", "r.left.p"), level + 1
-    toss = F.pmod(F.xxhash64("key", F.lit(seed - 1)), F.lit(1 << 30)) / float(1 << 30)
-    out = rows.select("key", (toss < F.col("p")).cast("double").alias("p"))
+    out = rows.select("key", (F.col("p") >= 0.5).cast("double").alias("p"))
     for part in done:
         out = out.unionByName(part)
     return out
