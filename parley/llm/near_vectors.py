@@ -19,7 +19,7 @@ from pyspark.sql.types import DoubleType
 from .common import materialise
 from .graph import components
 
-TABLES, HASHES, PROBES, BLOCK = 6, 2, 2, 512
+TABLES, HASHES, PROBES, BLOCK = 8, 2, 2, 512
 
 
 def _signs(dim: int, seed: int) -> np.ndarray:
