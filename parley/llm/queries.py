@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import bpe, language, quality
 from .common import held_out, table
 from .exact_dedup import exact_dedup
+from .html_text import extract
 from .mixing import mix
 from .near_vectors import near_vectors
 
@@ -32,6 +33,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -47,6 +52,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_source_mixing": op4_source_mixing,
     "op5_quality": op5_quality,
+    "op7_html_text": op7_html_text,
     "op8_bpe": op8_bpe,
     "op9_exact_dedup": op9_exact_dedup,
 }
