@@ -11,6 +11,7 @@ from .exact_dedup import exact_dedup
 from .html_text import extract
 from .mixing import mix
 from .near_vectors import near_vectors
+from .secrets import BASE_RULES, MORE_RULES, fast_regex, scan
 
 
 def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +34,30 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents")).drop("found")
+
+
+def _secret_sql() -> str:
+    """The same spans by plain scans of every text: pieces and matches alternate, their lengths are the offsets."""
+    parts = []
+    for i, r in enumerate(BASE_RULES + MORE_RULES):
+        regex = fast_regex(r).replace("'", "''")
+        parts.append(f"""
+            SELECT doc_id, {i} AS k, '{r.kind}' AS kind, start, start + length(w) AS stop FROM (
+              SELECT doc_id, unnest(w) AS w, unnest(c) AS c,
+                     unnest(list_transform(range(1, len(w) + 1), lambda i: coalesce(list_sum(list_transform(p[1:i], lambda x: length(x))), 0)
+                            + coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x))), 0))) AS start
+              FROM (SELECT doc_id, regexp_extract_all(t, '{regex}', 0) AS w, regexp_extract_all(t, '{regex}', {r.group}) AS c,
+                           regexp_split_to_array(t, '{regex}') AS p FROM d)) WHERE length(c) >= {r.least}""")
+    base = ", ".join(f"count(s.k) FILTER (WHERE s.kind = '{r.kind}') AS n_{r.kind}" for r in BASE_RULES)
+    text = "string_agg(s.kind || ':' || CAST(s.start AS BIGINT) || ':' || CAST(s.stop AS BIGINT), ',' ORDER BY s.start, s.k)"
+    return f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s AS ({" UNION ALL ".join(parts)})
+        SELECT d.doc_id, {base}, sha256(coalesce({text} FILTER (WHERE s.k < {len(BASE_RULES)}), '')) AS base_sha256, coalesce({text}, '') AS spans
+        FROM d LEFT JOIN s ON d.doc_id = s.doc_id GROUP BY d.doc_id"""
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
@@ -52,12 +77,14 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_source_mixing": op4_source_mixing,
     "op5_quality": op5_quality,
+    "op6_secret_scan": op6_secret_scan,
     "op7_html_text": op7_html_text,
     "op8_bpe": op8_bpe,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
 ORACLE = {
+    "op6_secret_scan": _secret_sql(),
     "op9_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
