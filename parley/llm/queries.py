@@ -9,6 +9,7 @@ from . import bpe, language, quality
 from .common import held_out, table
 from .exact_dedup import exact_dedup
 from .html_text import extract
+from .jaccard_join import jaccard_components
 from .mixing import mix
 from .near_vectors import near_vectors
 from .secrets import BASE_RULES, MORE_RULES, fast_regex, scan
@@ -72,6 +73,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 QUERIES = {
     "op1_near_vectors": op1_near_vectors,
     "op3_language_id": op3_language_id,
@@ -81,6 +86,7 @@ QUERIES = {
     "op7_html_text": op7_html_text,
     "op8_bpe": op8_bpe,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
 ORACLE = {
