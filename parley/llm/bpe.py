@@ -18,6 +18,7 @@ import hashlib
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark import SparkFiles
@@ -211,7 +212,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
             got = [encoder.digest(t) for t in b["text"]]
             out = pd.DataFrame({"id": b["id"], "n_tokens": [g[0] for g in got], "ids_sha256": [g[1] for g in got], "decoded_sha256": [g[2] for g in got]})
             if ids:
-                out["ids"] = [[int(i) for i in g[3].split(",") if i] for g in got]
+                out["ids"] = [np.fromstring(g[3], np.int32, sep=",") if g[3] else np.zeros(0, np.int32) for g in got]
             yield out
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, fields).withColumnRenamed("id", id_col)

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 #: Parts of a group of copies. A constant: it bounds what one text can send to the second aggregation.
 SALTS = 64
 #: Characters of the text that lead the sort key.
@@ -34,6 +36,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     runs = ranged.select("id", "lead", "sha", "salt", (~F.coalesce(F.col("text") == F.lag("text").over(near), F.lit(False))).cast("int").alias("first"), F.row_number().over(near).alias("at"))
     # the running number of distinct texts under one digest: 1 unless SHA-256 collides
     runs = runs.withColumn("run", F.sum("first").over(Window.partitionBy("lead", "sha", "salt").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))
+    runs = materialise(runs.select("id", "lead", "sha", "salt", "run"), "sorted-runs")
     heads = runs.groupBy("lead", "sha", "salt", "run").agg(best("id").alias("best"), F.count(F.lit(1)).alias("n"))
     together = Window.partitionBy("sha", "run")  # at most SALTS heads
     whole = heads.select("sha", "run", "salt", best("best").over(together).alias("keep_id"), F.sum("n").over(together).alias("group_size"))
@@ -41,3 +44,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         runs.select("id", "sha", "salt", "run").join(whole, ["sha", "run", "salt"])
         .select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
     )
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
+    """The rows of docs that exact_dedup keeps, with all their columns. Of rows that repeat an id and a text one stays."""
+    told = exact_dedup(docs, id_col, text_col, keep).where("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"))
+    keyed = docs.withColumn("_text_sha", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    stay = keyed.join(told, (F.col("_text_sha") == F.col("_sha")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    return stay.dropDuplicates([id_col, "_text_sha"]).drop("_text_sha")
