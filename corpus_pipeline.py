@@ -1,2 +1,68 @@
-STAGES = []
+"""The corpus pipeline: language ID, exact dedup, near-duplicate removal, source mixing, BPE encoding.
+
+Each stage takes all that its predecessor kept and returns the columns of documents; the last returns token
+ids. The stages assume that doc_id is the documents' key: rows that repeat an id stay or go together in
+the third stage and are taken equally often in the fourth."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from parley.llm import bpe, language
+from parley.llm.common import materialise
+from parley.llm.exact_dedup import without_copies
+from parley.llm.jaccard_join import near_duplicates
+from parley.llm.mixing import mix
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents whose language is recognised: they have letters and are not far from every centroid."""
+    told = language.identify(docs, language.fit(docs), prefix="_told_")
+    return told.where(~F.col("_told_rejected")).select(*docs.columns)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the largest doc_id of each group of equal texts."""
+    return without_copies(docs, keep="max")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest doc_id of each component of documents with a Jaccard similarity of at least 0.8 over
+    runs of five words; documents without words are each their own component."""
+    gone = near_duplicates(docs, width=5, percent=80).where(~F.col("kept")).select("doc_id")
+    return docs.join(materialise(gone, "near-gone"), "doc_id", "left_anti")
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times as the mix takes it; not at all, once or twice."""
+    taken = mix(docs).groupBy("doc_id").agg(F.max("copies").alias("_copies"))
+    rows = docs.join(taken.withColumnRenamed("doc_id", "_id"), docs["doc_id"].eqNullSafe(F.col("_id"))).where("_copies > 0")
+    return rows.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+
+
+def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, with their digests and those of the decoded text."""
+    import public_tokenizers
+
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"), ids=True)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("source_mixing", source_mixing),
+    ("bpe_encoding", bpe_encoding),
+]
+
+#: SQL can express neither the classifier, nor pivotal rounding, nor BPE; tests/llm compares with brute force.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each result is written to the shared folder and read by the next stage."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
