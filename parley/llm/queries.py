@@ -12,6 +12,7 @@ from .html_text import extract
 from .jaccard_join import jaccard_components
 from .mixing import mix
 from .near_vectors import near_vectors
+from .passages import repeated_passages
 from .secrets import BASE_RULES, MORE_RULES, fast_regex, scan
 
 
@@ -19,6 +20,10 @@ def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op2_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     told = language.identify(docs.select("doc_id", "text"), language.fit(docs))
@@ -86,6 +91,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "pipeline": pipeline,
     "op1_near_vectors": op1_near_vectors,
+    "op2_passage_dedup": op2_passage_dedup,
     "op3_language_id": op3_language_id,
     "op4_source_mixing": op4_source_mixing,
     "op5_quality": op5_quality,
