@@ -15,9 +15,9 @@ from .sampling import draw
 from .wordhash import BASE
 
 #: Bits of the hashed dimensions for each n-gram length, the lengths, centroids a language, training rows in all.
-DIM_BITS, LENGTHS, CENTROIDS, SAMPLE = 13, (1, 2, 3), 4, 6000
+DIM_BITS, LENGTHS, CENTROIDS, SAMPLE = 13, (1, 2, 3), 4, 3000
 #: A text is rejected if its best cosine is below this part of the lowest 1 in 1000 of the training texts.
-REJECT = 0.5
+REJECT = 0.3
 
 _plane: list[np.ndarray] = []
 
@@ -109,21 +109,24 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             yield pd.DataFrame(rows, columns=["lang", "at", "n"])
 
     drawn = draw(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")), "id", "lang", sample)
-    got = drawn.select("lang", "text").mapInPandas(featured, "lang string, at array<int>, n array<int>").toPandas()
+    got = drawn.select("lang", "text").mapInPandas(featured, "lang string, at array<int>, n array<int>").toArrow().combine_chunks()
     width = max(LENGTHS) << DIM_BITS
-    languages = sorted(got["lang"].unique()) if len(got) else []
-    seen = np.zeros(width)
-    for at in got["at"]:
-        seen[np.asarray(at)] += 1
-    model = Model(np.log((1 + len(got)) / (1 + seen)).astype(np.float32) + 1, np.zeros((width, 0), np.float32), np.zeros(0, int), languages, np.zeros(len(languages)))
+    names = got["lang"].to_pylist()
+    languages, seen = sorted(set(names)), np.zeros(width)
+    flat, ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+    if names:
+        at, n = (got[c].combine_chunks() for c in ("at", "n"))
+        flat, many, ends = at.values.to_numpy(), n.values.to_numpy(), at.offsets.to_numpy()
+        seen = np.bincount(flat, minlength=width)
+    model = Model(np.log((1 + len(names)) / (1 + seen)).astype(np.float32) + 1, np.zeros((width, 0), np.float32), np.zeros(0, int), languages, np.zeros(len(languages)))
     groups, owner = [], []
     for i, lang in enumerate(languages):
-        rows = got[got["lang"] == lang]
+        rows = [k for k, name in enumerate(names) if name == lang]
         x = np.zeros((len(rows), width), np.float32)
-        for r, (at, n) in enumerate(zip(rows["at"], rows["n"], strict=True)):
-            x[r, np.asarray(at)] = np.log1p(np.asarray(n))
-        x *= model.idf
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        for r, k in enumerate(rows):
+            part = slice(ends[k], ends[k + 1])
+            v = np.log1p(many[part]) * model.idf[flat[part]]
+            x[r, flat[part]] = v / max(np.linalg.norm(v), 1e-12)
         c = _cluster(x, CENTROIDS)
         groups.append(c)
         owner += [i] * len(c)
