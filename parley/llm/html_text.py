@@ -21,8 +21,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 #: Tokens of a repeated run (a power of 2), distinct pages that must share it, pages of a group.
 RUN, PAGES, GROUP = 8, 3, 128
+#: Hosts of more than GROUP pages whose counts are broadcast; if there are more, Spark joins them in its own way.
+LARGE_HOSTS = 100_000
 
 # fixed values of HTML
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -186,9 +190,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     one page where distinct pages are asked for. Whole pages are read."""
     host = F.coalesce(F.regexp_extract(F.lower(F.col(url_col)), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit(""))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), F.col(html_col).alias("html"))
-    sizes = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
-    at = F.pmod(F.xxhash64("id", "url"), F.ceil(F.col("n") / GROUP)).cast("int")
-    dealt = rows.join(sizes, "host").withColumn("part", at).drop("n")
+    large = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP)
+    large = materialise(large, "large-hosts")
+    large = F.broadcast(large) if large.count() <= LARGE_HOSTS else large
+    at = F.pmod(F.xxhash64("id", "url"), F.ceil(F.coalesce("n", F.lit(1)) / GROUP)).cast("int")
+    # dealt by host and part: by the host alone, a hot one would be one task
+    dealt = rows.join(large, "host", "left").withColumn("part", at).drop("n").repartition("host", "part")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         htmls = group["html"].fillna("").tolist()
