@@ -19,6 +19,8 @@ from .wordhash import BASE, SPACE, range_hashes, word_spans
 
 #: Bits of the hash buckets, vector length, n-gram lengths in bytes, training rows in all, passes, rate, batch.
 BUCKET_BITS, DIM, LENGTHS, SAMPLE, EPOCHS, RATE, BATCH = 13, 16, (1, 2, 3, 4), 4000, 12, 0.1, 32
+#: How often a word that follows itself counts.
+PAIR_WEIGHT = 16
 #: Bytes of text that are hashed together; a longer text is hashed alone.
 TOGETHER = 1 << 18
 
@@ -51,8 +53,9 @@ def _hashed(group: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     full[doc[starts]] = True
     word, owner = range_hashes(data, starts, ends), doc[starts]
     again = (word[1:] == word[:-1]) & (owner[1:] == owner[:-1])
-    # words, and one bucket for all pairs of a word with itself
-    at, of = [_bucket(word), np.zeros(int(again.sum()), np.int64)], [owner, owner[1:][again]]
+    # words, and one bucket for all pairs of a word with itself, which weighs as much as a word's n-grams
+    pairs = np.repeat(owner[1:][again], PAIR_WEIGHT)
+    at, of = [_bucket(word), np.zeros(len(pairs), np.int64)], [owner, pairs]
     x, h = data.astype(np.uint64) + np.uint64(1), np.zeros(len(data), np.uint64)
     for n in range(1, max(LENGTHS) + 1):
         if len(x) < n:
@@ -82,8 +85,8 @@ class Model:
         return np.concatenate(out)
 
 
-def train(shares: np.ndarray, label: np.ndarray, seed: int = 3) -> Model:
-    """shares: a row of bucket shares for each document; label: 0 or 1. Steps are scaled as in Adagrad."""
+def train(rows: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, seed: int = 3) -> Model:
+    """rows: the buckets and their shares of each document; label: 0 or 1. Steps are scaled as in Adagrad."""
     buckets = 1 << BUCKET_BITS
     if not len(label):
         return Model(np.zeros(buckets), 0.0)
@@ -92,7 +95,9 @@ def train(shares: np.ndarray, label: np.ndarray, seed: int = 3) -> Model:
     past = [np.full_like(x, 1e-8) for x in (e, w, b)]
     for _ in range(EPOCHS):
         for part in np.array_split(rng.permutation(len(label)), max(1, len(label) // BATCH)):
-            x = shares[part]
+            x = np.zeros((len(part), buckets), np.float32)
+            for i, k in enumerate(part):
+                x[i, rows[k][0]] = rows[k][1]
             mean = x @ e
             z = mean @ w + b
             p = np.exp(z - z.max(axis=1, keepdims=True))
@@ -118,15 +123,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 for part in np.split(at, np.cumsum(n)[:-1]):
                     c = np.bincount(part, minlength=1)
                     hit = np.flatnonzero(c)
-                    rows.append((hit.astype(np.int32), (c[hit] / max(1, len(part))).astype(np.float32)))
+                    rows.append((hit.astype(np.int16), (c[hit] / max(1, len(part))).astype(np.float32)))
             yield pd.DataFrame({"label": b["label"], "id": b["id"], "at": [r[0] for r in rows], "share": [r[1] for r in rows]})
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "id")
-    got = texts.select("id", "label", "text").mapInPandas(featured, "label int, id bigint, at array<int>, share array<float>").toPandas().sort_values("id", kind="stable")
-    shares = np.zeros((len(got), 1 << BUCKET_BITS), np.float32)
-    for i, (at, share) in enumerate(zip(got["at"], got["share"], strict=True)):
-        shares[i, np.asarray(at, np.int64)] = share
-    return train(shares, got["label"].to_numpy(np.int64))
+    # a flat Arrow table: no object for each row or value reaches the driver
+    got = texts.select("id", "label", "text").mapInPandas(featured, "label int, id bigint, at array<smallint>, share array<float>").toArrow()
+    got = got.combine_chunks().sort_by("id")
+    rows = []
+    if len(got):
+        at, share = (got[c].combine_chunks() for c in ("at", "share"))
+        ends = at.offsets.to_numpy()
+        flat, part = at.values.to_numpy(), share.values.to_numpy()
+        rows = [(flat[i:j], part[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+    return train(rows, got["label"].to_numpy().astype(np.int64))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
