@@ -9,7 +9,8 @@ Equal sets collapse first. A group of many near copies must not become all its p
 are asked for, and none may be lost either:
 
 1. In the bucket of each prefix shingle, members are compared with a few hubs of the bucket.
-2. Members of a bucket that are still in different components meet in blocks. A meeting compares prefixes
+2. Members of a small bucket that are still in different components are compared pair by pair.
+3. Those of a large bucket meet in blocks. A meeting compares prefixes
    and their positions, and passes on a few candidates for each member and foreign component; more are asked
    for, four times as many each time, until a member has joined the component or no candidate remains."""
 
@@ -26,8 +27,9 @@ from .common import materialise
 from .graph import components
 from .wordhash import mix64, shingles, texts_words
 
-#: Bits of the hashed counts, orders besides the first, hubs of a bucket, rows of a block, texts hashed together.
-COUNT_BITS, MORE_ORDERS, HUBS, BLOCK, TEXTS = 15, (0x51ED270B, 0x2545F491), 4, 256, 32
+#: Bits of the hashed counts, orders besides the first, hubs of a bucket, rows of a small bucket, rows of a block,
+#: texts hashed together.
+COUNT_BITS, MORE_ORDERS, HUBS, SMALL, BLOCK, TEXTS = 15, (0x51ED270B, 0x2545F491), 4, 64, 256, 32
 
 
 def _sets(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
@@ -143,12 +145,14 @@ def meet(token: int, a: dict, b: dict, percent: int, most: int) -> list[tuple[in
 
 
 def _meetings(percent: int, most: int):
-    def side(r, s: str) -> dict:
-        return {"key": np.asarray(getattr(r, f"key_{s}")), "comp": np.asarray(getattr(r, f"comp_{s}")), "n": np.asarray(getattr(r, f"n_{s}")), "p1": [np.asarray(p) for p in getattr(r, f"p1_{s}")]}
+    def side(r, s: str, some=None) -> dict:
+        at = np.arange(len(getattr(r, f"key_{s}"))) if some is None else np.flatnonzero(np.asarray(some))
+        p1 = getattr(r, f"p1_{s}")
+        return {c: np.asarray(getattr(r, f"{c}_{s}"))[at] for c in ("key", "comp", "n")} | {"p1": [np.asarray(p1[i]) for i in at]}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [t for r in batch.itertuples() for t in meet(r.token, side(r, "a"), side(r, "b"), percent, most)]
+            rows = [t for r in batch.itertuples() for t in meet(r.token, side(r, "a", r.far_a), side(r, "b"), percent, most)]
             yield pd.DataFrame(rows, columns=["x", "y", "more"])
 
     return run
@@ -189,7 +193,7 @@ class _Join:
 
     def links(self) -> DataFrame:
         """Links (a, b) between keys: enough of them to have the components of all."""
-        postings = self.prefixes.select("key", F.explode("p1").alias("token"))
+        postings = self.prefixes.select("key", "n", F.posexplode("p1").alias("i", "token"))
         slots = [F.min(F.when(F.pmod("key", F.lit(HUBS)) == j, F.col("key"))).alias(f"h{j}") for j in range(HUBS)]
         buckets = postings.groupBy("token").agg(F.count(F.lit(1)).alias("m"), *slots).where("m > 1")
         members = materialise(postings.join(buckets, "token"), "ngram-buckets")
@@ -198,27 +202,41 @@ class _Join:
         done = self.verified(hubs.select(*order("key", "hub")).distinct())
         links = done.where("linked").select("a", "b")
         # buckets of two are settled: one of the two is the other's hub
-        open_ = members.where("m > 2").select("token", "key", "m")
+        open_ = self.mixed(members.where(f"m > 2 and m <= {SMALL}").select("token", "key", "n", "i", "m"), links)
+        one, two = (open_.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("key", "comp", "n", "i")]) for s in "ab")
+        need = F.ceil(F.lit(self.percent) * (F.col("n_a") + F.col("n_b")) / (100 + self.percent))
+        # the shingles before the first common one are lacking in the other set
+        could = (F.col("i_a") <= F.col("n_a") - need) & (F.col("i_b") <= F.col("n_b") - need)
+        pairs = one.join(two, "token").where((F.col("key_a") < F.col("key_b")) & (F.col("comp_a") != F.col("comp_b")) & could)
+        fresh = pairs.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
+        new = self.verified(fresh)
+        done, links = done.unionByName(new), links.unionByName(new.where("linked").select("a", "b"))
+        large = materialise(members.where(f"m > {SMALL}").select("token", "key", "m"), "ngram-large")
         most = 4
-        while True:
-            at = components(links).select(F.col("node").alias("key"), "component")
-            where = materialise(open_.join(at, "key", "left").select("token", "key", "m", F.coalesce("component", "key").alias("comp")), "ngram-open")
-            per = where.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
-            mixed = per.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("token", F.col("main.comp").alias("main"))
-            rows = where.join(mixed, "token").join(self.prefixes.select("key", "n", "p1"), "key")
-            rows = rows.withColumn("part", F.pmod(F.xxhash64("key"), F.ceil(F.col("m") / BLOCK)).cast("int")).withColumn("far", F.col("comp") != F.col("main"))
-            struct = F.struct("key", "comp", "n", "p1")
-            blocks = materialise(rows.groupBy("token", "part").agg(F.collect_list(struct).alias("b"), F.collect_list(F.when(F.col("far"), struct)).alias("a")), "ngram-blocks")
-            told = lambda s: [F.col(f"{s}.{c}").alias(f"{c}_{s}") for c in ("key", "comp", "n", "p1")]
-            met = blocks.where("size(a) > 0").select("token", *told("a")).join(blocks.select("token", *told("b")), "token")
+        while not large.isEmpty():
+            rows = self.mixed(large, links).join(self.prefixes.select("key", "n", "p1"), "key")
+            rows = rows.withColumn("part", F.pmod(F.xxhash64("key"), F.ceil(F.col("m") / BLOCK)).cast("int"))
+            blocks = rows.groupBy("token", "part").agg(F.collect_list(F.struct("key", "comp", "n", "p1", "far")).alias("b"))
+            blocks = materialise(blocks.withColumn("any", F.exists("b", lambda x: x["far"])), "ngram-blocks")
+            told = lambda s: [F.col(f"b.{c}").alias(f"{c}_{s}") for c in ("key", "comp", "n", "p1", "far")]
+            met = blocks.where("any").select("token", *told("a")).join(blocks.select("token", *told("b")), "token")
             found = materialise(met.mapInPandas(_meetings(self.percent, most), "x bigint, y bigint, more boolean"), "ngram-met")
             fresh = found.select(*order("x", "y")).distinct().join(done, ["a", "b"], "left_anti")
             new = self.verified(fresh)
-            done = done.unionByName(new)
-            links = links.unionByName(new.where("linked").select("a", "b"))
+            done, links = done.unionByName(new), links.unionByName(new.where("linked").select("a", "b"))
             if found.where("more").isEmpty():
-                return links
+                break
             most *= 4
+        return links
+
+    def mixed(self, rows: DataFrame, links: DataFrame) -> DataFrame:
+        """rows with comp, the component of their key by the links so far, and far: not of the bucket's largest
+        component; only of buckets with several components."""
+        at = components(links).select(F.col("node").alias("key"), "component")
+        where = materialise(rows.join(at, "key", "left").withColumn("comp", F.coalesce("component", "key")).drop("component"), "ngram-open")
+        per = where.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
+        several = per.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+        return where.join(several.select("token", F.col("main.comp").alias("main")), "token").withColumn("far", F.col("comp") != F.col("main")).drop("main")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
