@@ -24,7 +24,7 @@ from .graph import components
 from .wordhash import BASE, mix64, texts_words
 
 #: Words of a paragraph, words of a shingle, anchor distance, least similarity in percent, hubs of a band's bucket, texts hashed together.
-PARAGRAPH, WIDTH, GAP, PERCENT, HUBS, TEXTS = 32, 5, 20, 80, 4, 32
+PARAGRAPH, WIDTH, GAP, PERCENT, HUBS, TEXTS = 32, 5, 20, 80, 2, 32
 SEEDS = (0x1F123BB5, 0x7A4F0C31)
 BANDS = len(SEEDS)
 
@@ -77,10 +77,14 @@ def _emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The shingle sets of the paragraphs asked for: rows (text, keys)."""
     for b in batches:
-        for text, keys in zip(b["text"], b["keys"], strict=True):
-            _, _, key, _, anchor, run = paragraphs([text])
-            hit = np.flatnonzero(np.isin(key, np.asarray(keys)))
-            yield pd.DataFrame({"key": key[hit], "s": [np.unique(run[a : a + PARAGRAPH - WIDTH + 1]).astype(np.int64) for a in anchor[hit]]})
+        texts, keys = b["text"].tolist(), b["keys"].tolist()
+        for i in range(0, len(texts), TEXTS):
+            doc, _, key, _, anchor, run = paragraphs(texts[i : i + TEXTS])
+            asked = keys[i : i + TEXTS]
+            of = np.repeat(np.arange(len(asked)), [len(k) for k in asked])
+            tell = lambda k, d: k.astype(np.uint64) ^ mix64(d.astype(np.uint64))
+            hit = np.flatnonzero(np.isin(tell(key, doc), tell(np.concatenate([np.asarray(k, np.int64) for k in asked]), of)))
+            yield pd.DataFrame({"key": key[hit], "s": [np.unique(run[a : a + PARAGRAPH - WIDTH + 1]).astype(np.uint32).astype(np.int32) for a in anchor[hit]]})
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -96,14 +100,16 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     found = materialise(rows.mapInPandas(_emit, "id bigint, pos bigint, key bigint, " + ", ".join(f"{m} bigint" for m in bands)), "paragraphs")
     classes = found.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), *[F.min(m).alias(m) for m in bands])
     classes = materialise(classes, "paragraph-classes")
-    posted = classes.select("key", F.posexplode(F.array(*bands)).alias("band", "value"))
-    slots = [F.min(F.when(F.pmod("key", F.lit(HUBS)) == j, F.col("key"))).alias(f"h{j}") for j in range(HUBS)]
-    buckets = posted.groupBy("band", "value").agg(F.count(F.lit(1)).alias("m"), *slots).where("m > 1")
-    hubs = posted.join(buckets, ["band", "value"]).select("key", F.explode(F.array(*[F.col(f"h{j}") for j in range(HUBS)])).alias("hub")).where("hub is not null and hub <> key")
+    posted = classes.select("key", "low", "high", F.posexplode(F.array(*bands)).alias("band", "value"))
+    slots = [F.min(F.when(F.pmod("key", F.lit(HUBS)) == j, F.struct("key", "low", "high"))).alias(f"h{j}") for j in range(HUBS)]
+    # a text's own paragraphs overlap, so they collide: only what has collided across documents is compared
+    buckets = posted.groupBy("band", "value").agg(F.min("low").alias("least"), F.max("high").alias("most"), *slots).where("least < most")
+    hubs = posted.join(buckets, ["band", "value"]).select("key", "low", "high", F.explode(F.array(*[F.col(f"h{j}") for j in range(HUBS)])).alias("hub"))
+    hubs = hubs.where("hub is not null and hub.key <> key and least(low, hub.low) < greatest(high, hub.high)").select("key", F.col("hub.key").alias("hub"))
     pairs = materialise(hubs.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct(), "paragraph-pairs")
     asked = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(classes.select("key", "low"), "key")
     asked = asked.groupBy(F.col("low").alias("id")).agg(F.collect_list("key").alias("keys"))
-    sets = materialise(rows.join(asked, "id").select("text", "keys").mapInPandas(_fetch, "key bigint, s array<bigint>").dropDuplicates(["key"]), "paragraph-sets")
+    sets = materialise(rows.join(asked, "id").select("text", "keys").mapInPandas(_fetch, "key bigint, s array<int>").dropDuplicates(["key"]), "paragraph-sets")
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b")
     same = F.size(F.array_intersect("sa", "sb"))
     links = both.where(same * 100 >= PERCENT * (F.size("sa") + F.size("sb") - same)).select("a", "b")
