@@ -194,20 +194,18 @@ class _Join:
     def links(self) -> DataFrame:
         """Links (a, b) between keys: enough of them to have the components of all."""
         postings = self.prefixes.select("key", "n", F.posexplode("p1").alias("i", "token"))
-        slots = [F.min(F.when(F.pmod("key", F.lit(HUBS)) == j, F.col("key"))).alias(f"h{j}") for j in range(HUBS)]
+        slots = [F.min(F.when(F.pmod("key", F.lit(HUBS)) == j, F.struct("key", "n", "i"))).alias(f"h{j}") for j in range(HUBS)]
         buckets = postings.groupBy("token").agg(F.count(F.lit(1)).alias("m"), *slots).where("m > 1")
         members = materialise(postings.join(buckets, "token"), "ngram-buckets")
-        hubs = members.select("key", F.explode(F.array(*[F.col(f"h{j}") for j in range(HUBS)])).alias("hub")).where("hub is not null and hub <> key")
+        hubs = members.select("key", "n", "i", F.explode(F.array(*[F.col(f"h{j}") for j in range(HUBS)])).alias("hub")).where("hub is not null and hub.key <> key")
+        hubs = hubs.where(self.could("n", "i", "hub.n", "hub.i")).select("key", F.col("hub.key").alias("hub"))
         order = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
         done = self.verified(hubs.select(*order("key", "hub")).distinct())
         links = done.where("linked").select("a", "b")
         # buckets of two are settled: one of the two is the other's hub
         open_ = self.mixed(members.where(f"m > 2 and m <= {SMALL}").select("token", "key", "n", "i", "m"), links)
         one, two = (open_.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("key", "comp", "n", "i")]) for s in "ab")
-        need = F.ceil(F.lit(self.percent) * (F.col("n_a") + F.col("n_b")) / (100 + self.percent))
-        # the shingles before the first common one are lacking in the other set
-        could = (F.col("i_a") <= F.col("n_a") - need) & (F.col("i_b") <= F.col("n_b") - need)
-        pairs = one.join(two, "token").where((F.col("key_a") < F.col("key_b")) & (F.col("comp_a") != F.col("comp_b")) & could)
+        pairs = one.join(two, "token").where((F.col("key_a") < F.col("key_b")) & (F.col("comp_a") != F.col("comp_b")) & self.could("n_a", "i_a", "n_b", "i_b"))
         fresh = pairs.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
         new = self.verified(fresh)
         done, links = done.unionByName(new), links.unionByName(new.where("linked").select("a", "b"))
@@ -229,6 +227,13 @@ class _Join:
             most *= 4
         return links
 
+    def could(self, na: str, ia: str, nb: str, ib: str):
+        """Whether two sets with these sizes could be similar if the shingle at these places of their prefixes is the
+        first that they have in common: those before it are lacking in the other set."""
+        na, ia, nb, ib = map(F.col, (na, ia, nb, ib))
+        need = F.ceil(F.lit(self.percent) * (na + nb) / (100 + self.percent))
+        return (F.least(na, nb) >= need) & (ia <= na - need) & (ib <= nb - need)
+
     def mixed(self, rows: DataFrame, links: DataFrame) -> DataFrame:
         """rows with comp, the component of their key by the links so far, and far: not of the bucket's largest
         component; only of buckets with several components."""
