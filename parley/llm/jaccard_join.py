@@ -27,22 +27,34 @@ from .common import materialise
 from .graph import components
 from .wordhash import mix64, shingles, texts_words
 
+#: The most ids, of 16 bytes, that are broadcast.
+SENT = 200_000
 #: Bits of the hashed counts, orders besides the first, hubs of a bucket, rows of a small bucket, rows of a block,
 #: texts hashed together.
 COUNT_BITS, MORE_ORDERS, HUBS, SMALL, BLOCK, TEXTS = 15, (0x51ED270B, 0x2545F491), 4, 64, 256, 32
 
 
-def _sets(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
+def _sets(texts: list[str | None], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For some texts at a time, in order: their sorted distinct shingle hashes, and where each text's begin and end."""
     for i in range(0, len(texts), TEXTS):
         words, at = texts_words(texts[i : i + TEXTS])
+        every = shingles(words, width)
+        parts = []
         for a, b in zip(at[:-1], at[1:], strict=True):
-            yield np.unique(shingles(words[a:b], width))
+            # a short text is one shingle; those that reach into the next text are left out
+            parts.append(np.sort(every[a : b - width + 1]) if b - a >= width else shingles(words[a:b], width))
+        size = np.array([len(p) for p in parts])
+        flat = np.concatenate(parts)
+        doc = np.repeat(np.arange(len(parts)), size)
+        fresh = np.ones(len(flat), bool)
+        fresh[1:] = (flat[1:] != flat[:-1]) | (doc[1:] != doc[:-1])
+        yield flat[fresh], np.concatenate([[0], np.cumsum(np.bincount(doc[fresh], minlength=len(parts)))])
 
 
-def _key(s: np.ndarray) -> int:
-    """64 bits that stand for a set; sums don't depend on order."""
-    return int(mix64(np.array([mix64(s ^ np.uint64(0xA5A5A5A5)).sum(dtype=np.uint64) + np.uint64(len(s))]))[0].astype(np.int64))
+def _keys(s: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """64 bits that stand for each set; sums don't depend on order."""
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(s ^ np.uint64(0xA5A5A5A5)), dtype=np.uint64)])
+    return mix64(total[at[1:]] - total[at[:-1]] + np.diff(at).astype(np.uint64)).astype(np.int64)
 
 
 def _profile(width: int):
@@ -51,11 +63,12 @@ def _profile(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(1 << COUNT_BITS, np.int64)
         for b in batches:
-            keys, sizes = [], []
-            for s in _sets(b["text"].tolist(), width):
-                keys.append(_key(s))
-                sizes.append(len(s))
+            keys, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for s, at in _sets(b["text"].tolist(), width):
+                keys.append(_keys(s, at))
+                sizes.append(np.diff(at))
                 total += np.bincount((s >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=1 << COUNT_BITS)
+            keys, sizes = np.concatenate(keys), np.concatenate(sizes)
             yield pd.DataFrame({"id": b["id"], "key": pd.array(keys, "Int64"), "n": pd.array(sizes, "Int64"), "bucket": pd.array([None] * len(b), "Int64"), "count": pd.array([None] * len(b), "Int64")})
         at = np.flatnonzero(total)
         none = pd.array([None] * len(at), "Int64")
@@ -76,15 +89,15 @@ def _prefixes(width: int, percent: int, shared):
         classes = shared.value
         for b in batches:
             rows = []
-            for s in _sets(b["text"].tolist(), width):
-                n = len(s)
-                if not n:
-                    continue
-                p = n - -(-percent * n // 100) + 1
+            for s, at in _sets(b["text"].tolist(), width):
                 first = classes[(s >> np.uint64(64 - COUNT_BITS)).astype(np.int64)] << np.uint64(58)
                 orders = [first | (mix64(s ^ np.uint64(seed)) >> np.uint64(6)) for seed in (0, *MORE_ORDERS)]
-                cut = [np.sort(np.partition(o, p - 1)[:p]) for o in orders]
-                rows.append((_key(s), n, cut[0].astype(np.int64), *[c.astype(np.uint32).astype(np.int32) for c in cut[1:]]))
+                for k, i, j in zip(_keys(s, at), at[:-1], at[1:], strict=True):
+                    if i < j:
+                        n = int(j - i)
+                        p = n - -(-percent * n // 100) + 1
+                        cut = [np.sort(np.partition(o[i:j], p - 1)[:p]) for o in orders]
+                        rows.append((k, n, cut[0].astype(np.int64), *[c.astype(np.uint32).astype(np.int32) for c in cut[1:]]))
             yield pd.DataFrame(rows, columns=["key", "n", "p1", "p2", "p3"])
 
     return run
@@ -95,7 +108,11 @@ def _whole(width: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(k, s.astype(np.int64)) for k, s in zip(b["key"], _sets(b["text"].tolist(), width), strict=True) if _key(s) == k]
+            rows, asked = [], b["key"].to_numpy()
+            for s, at in _sets(b["text"].tolist(), width):
+                keys = _keys(s, at)
+                rows += [(k, s[i:j].astype(np.int64)) for k, want, i, j in zip(keys, asked[: len(keys)], at[:-1], at[1:], strict=True) if k == want]
+                asked = asked[len(keys) :]
             yield pd.DataFrame(rows, columns=["key", "s"])
 
     return run
@@ -184,6 +201,8 @@ class _Join:
         if self.sets is not None:
             asked = asked.join(self.sets, "key", "left_anti")
         asked = materialise(asked.join(self.first, "key"), "ngram-asked")
+        # few ids are sent to the texts; many meet them in a shuffle
+        asked = F.broadcast(asked) if asked.count() <= SENT else asked
         got = self.rows.join(asked, "id").select("key", "text").mapInPandas(_whole(self.width), "key bigint, s array<bigint>")
         got = materialise(got.dropDuplicates(["key"]), "ngram-sets")
         self.sets = got if self.sets is None else self.sets.unionByName(got)
@@ -196,8 +215,9 @@ class _Join:
         postings = self.prefixes.select("key", "n", F.posexplode("p1").alias("i", "token"))
         slots = [F.min(F.when(F.pmod("key", F.lit(HUBS)) == j, F.struct("key", "n", "i"))).alias(f"h{j}") for j in range(HUBS)]
         buckets = postings.groupBy("token").agg(F.count(F.lit(1)).alias("m"), *slots).where("m > 1")
-        members = materialise(postings.join(buckets, "token"), "ngram-buckets")
-        hubs = members.select("key", "n", "i", F.explode(F.array(*[F.col(f"h{j}") for j in range(HUBS)])).alias("hub")).where("hub is not null and hub.key <> key")
+        buckets = materialise(buckets, "ngram-buckets")
+        members = materialise(postings.join(buckets.select("token", "m"), "token"), "ngram-members")
+        hubs = members.join(buckets.drop("m"), "token").select("key", "n", "i", F.explode(F.array(*[F.col(f"h{j}") for j in range(HUBS)])).alias("hub")).where("hub is not null and hub.key <> key")
         hubs = hubs.where(self.could("n", "i", "hub.n", "hub.i")).select("key", F.col("hub.key").alias("hub"))
         order = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
         done = self.verified(hubs.select(*order("key", "hub")).distinct())
