@@ -100,12 +100,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     found = materialise(rows.mapInPandas(_emit, "id bigint, pos bigint, key bigint, " + ", ".join(f"{m} bigint" for m in bands)), "paragraphs")
     classes = found.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), *[F.min(m).alias(m) for m in bands])
     classes = materialise(classes, "paragraph-classes")
-    posted = classes.select("key", "low", "high", F.posexplode(F.array(*bands)).alias("band", "value"))
-    slots = [F.min(F.when(F.pmod("key", F.lit(HUBS)) == j, F.struct("key", "low", "high"))).alias(f"h{j}") for j in range(HUBS)]
-    # a text's own paragraphs overlap, so they collide: only what has collided across documents is compared
-    buckets = posted.groupBy("band", "value").agg(F.min("low").alias("least"), F.max("high").alias("most"), *slots).where("least < most")
-    hubs = posted.join(buckets, ["band", "value"]).select("key", "low", "high", F.explode(F.array(*[F.col(f"h{j}") for j in range(HUBS)])).alias("hub"))
-    hubs = hubs.where("hub is not null and hub.key <> key and least(low, hub.low) < greatest(high, hub.high)").select("key", F.col("hub.key").alias("hub"))
+    # the bands hash with seeds of their own, so a value is of one band
+    posted = classes.select("key", F.explode(F.array(*bands)).alias("value"))
+    slots = [F.min(F.when(F.pmod("key", F.lit(HUBS)) == j, F.col("key"))).alias(f"h{j}") for j in range(HUBS)]
+    # a text's own paragraphs overlap, so they collide: only buckets of several documents are compared
+    ends = classes.select("key", "low", "high", F.explode(F.array(*bands)).alias("value"))
+    buckets = ends.groupBy("value").agg(F.min("low").alias("least"), F.max("high").alias("most"), *slots).where("least < most").drop("least", "most")
+    hubs = posted.join(buckets, "value").select("key", F.explode(F.array(*[F.col(f"h{j}") for j in range(HUBS)])).alias("hub")).where("hub is not null and hub <> key")
     pairs = materialise(hubs.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct(), "paragraph-pairs")
     asked = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(classes.select("key", "low"), "key")
     asked = asked.groupBy(F.col("low").alias("id")).agg(F.collect_list("key").alias("keys"))
