@@ -25,19 +25,20 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 from .graph import components
-from .wordhash import mix64, shingles, texts_words
+from .wordhash import groups, mix64, shingles, texts_words
 
 #: The most ids, of 16 bytes, that are broadcast.
 SENT = 200_000
-#: Bits of the hashed counts, orders besides the first, hubs of a bucket, rows of a small bucket, rows of a block,
-#: texts hashed together.
-COUNT_BITS, MORE_ORDERS, HUBS, SMALL, BLOCK, TEXTS = 15, (0x51ED270B, 0x2545F491), 4, 64, 256, 32
+#: Bits of the hashed counts, orders besides the first, hubs of a bucket, rows of a small bucket, rows of a block.
+COUNT_BITS, MORE_ORDERS, HUBS, SMALL, BLOCK = 15, (0x51ED270B, 0x2545F491), 4, 64, 256
+#: Rows that a task passes on at once.
+PASSED = 512
 
 
 def _sets(texts: list[str | None], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For some texts at a time, in order: their sorted distinct shingle hashes, and where each text's begin and end."""
-    for i in range(0, len(texts), TEXTS):
-        words, at = texts_words(texts[i : i + TEXTS])
+    for i, j in groups(texts):
+        words, at = texts_words(texts[i:j])
         every = shingles(words, width)
         parts = []
         for a, b in zip(at[:-1], at[1:], strict=True):
@@ -98,6 +99,9 @@ def _prefixes(width: int, percent: int, shared):
                         p = n - -(-percent * n // 100) + 1
                         cut = [np.sort(np.partition(o[i:j], p - 1)[:p]) for o in orders]
                         rows.append((k, n, cut[0].astype(np.int64), *[c.astype(np.uint32).astype(np.int32) for c in cut[1:]]))
+                if len(rows) >= PASSED:
+                    yield pd.DataFrame(rows, columns=["key", "n", "p1", "p2", "p3"])
+                    rows = []
             yield pd.DataFrame(rows, columns=["key", "n", "p1", "p2", "p3"])
 
     return run
@@ -113,6 +117,9 @@ def _whole(width: int):
                 keys = _keys(s, at)
                 rows += [(k, s[i:j].astype(np.int64)) for k, want, i, j in zip(keys, asked[: len(keys)], at[:-1], at[1:], strict=True) if k == want]
                 asked = asked[len(keys) :]
+                if len(rows) >= PASSED:
+                    yield pd.DataFrame(rows, columns=["key", "s"])
+                    rows = []
             yield pd.DataFrame(rows, columns=["key", "s"])
 
     return run

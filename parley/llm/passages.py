@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 from .graph import components
-from .wordhash import BASE, mix64, texts_words
+from .wordhash import BASE, groups, mix64, texts_words
 
-#: Words of a paragraph, words of a shingle, anchor distance, least similarity in percent, hubs of a band's bucket, texts hashed together.
-PARAGRAPH, WIDTH, GAP, PERCENT, HUBS, TEXTS = 32, 5, 20, 80, 2, 32
+#: Words of a paragraph, words of a shingle, anchor distance, least similarity in percent, hubs of a band's bucket.
+PARAGRAPH, WIDTH, GAP, PERCENT, HUBS = 32, 5, 20, 80, 2
 SEEDS = (0x1F123BB5, 0x7A4F0C31)
 BANDS = len(SEEDS)
 
@@ -69,18 +69,18 @@ def paragraphs(texts: list[str | None]) -> tuple[np.ndarray, ...]:
 def _emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         texts, ids = b["text"].tolist(), b["id"].to_numpy()
-        for i in range(0, len(texts), TEXTS):
-            doc, pos, key, bands, _, _ = paragraphs(texts[i : i + TEXTS])
-            yield pd.DataFrame({"id": ids[i : i + TEXTS][doc], "pos": pos, "key": key, **{f"m{k}": bands[:, k] for k in range(BANDS)}})
+        for i, j in groups(texts):
+            doc, pos, key, bands, _, _ = paragraphs(texts[i:j])
+            yield pd.DataFrame({"id": ids[i:j][doc], "pos": pos, "key": key, **{f"m{k}": bands[:, k] for k in range(BANDS)}})
 
 
 def _fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The shingle sets of the paragraphs asked for: rows (text, keys)."""
     for b in batches:
         texts, keys = b["text"].tolist(), b["keys"].tolist()
-        for i in range(0, len(texts), TEXTS):
-            doc, _, key, _, anchor, run = paragraphs(texts[i : i + TEXTS])
-            asked = keys[i : i + TEXTS]
+        for i, j in groups(texts):
+            doc, _, key, _, anchor, run = paragraphs(texts[i:j])
+            asked = keys[i:j]
             of = np.repeat(np.arange(len(asked)), [len(k) for k in asked])
             tell = lambda k, d: k.astype(np.uint64) ^ mix64(d.astype(np.uint64))
             hit = np.flatnonzero(np.isin(tell(key, doc), tell(np.concatenate([np.asarray(k, np.int64) for k in asked]), of)))

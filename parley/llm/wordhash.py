@@ -5,6 +5,8 @@ hash of any byte range in constant time. All constants come from one seed: every
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 _rng = np.random.default_rng(20240229)
@@ -54,6 +56,20 @@ def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix64((total[ends] - total[starts]) * _power(INVERSE, n + 1)[starts] + (ends - starts).astype(np.uint64))
 
 
+def groups(texts: list[str | None], most: int = 1 << 18, count: int = 64) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of together at most `most` characters, or of one longer text: what is hashed at once, so
+    that the memory of a task follows its longest text and not a number of long ones."""
+    first, size = 0, 0
+    for i, t in enumerate(texts):
+        n = len(t or "")
+        if i > first and (size + n > most or i - first >= count):
+            yield first, i
+            first, size = i, 0
+        size += n
+    if len(texts) > first:
+        yield first, len(texts)
+
+
 def texts_words(texts: list[str | None], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words of all texts, offsets: text i has words offsets[i] to offsets[i + 1]).
     lower: A-Z become a-z, other letters stay. Null is the empty text."""
