@@ -29,12 +29,22 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dir[0]}"
 
 
+#: Whether Spark drops the shuffle files of a query once it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Writes a table to the shared folder and reads it again. It cuts the lineage, survives a lost
-    executor, and what is used several times is computed once. Columns compress as Parquet does."""
+    executor, and what is used several times is computed once. Columns compress as Parquet does. The written
+    table is all that stays: the shuffle files behind it are dropped at once, not when the driver's garbage is."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
