@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 #: How a byte-level vocabulary splits text before merging (fixed by the vocabulary).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words that a worker remembers, and the longest that it does, in characters.
-REMEMBER, MEMORABLE = 300_000, 48
+REMEMBER, MEMORABLE = 150_000, 48
+#: Rows that a task passes on at once.
+PASSED = 256
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -208,11 +210,13 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = _encoder(name)
-        for b in batches:
-            got = [encoder.digest(t) for t in b["text"]]
-            out = pd.DataFrame({"id": b["id"], "n_tokens": [g[0] for g in got], "ids_sha256": [g[1] for g in got], "decoded_sha256": [g[2] for g in got]})
-            if ids:
-                out["ids"] = [np.fromstring(g[3], np.int32, sep=",") if g[3] else np.zeros(0, np.int32) for g in got]
-            yield out
+        for whole in batches:
+            for i in range(0, len(whole), PASSED):
+                b = whole.iloc[i : i + PASSED]
+                got = [encoder.digest(t) for t in b["text"]]
+                out = pd.DataFrame({"id": b["id"].to_numpy(), "n_tokens": [g[0] for g in got], "ids_sha256": [g[1] for g in got], "decoded_sha256": [g[2] for g in got]})
+                if ids:
+                    out["ids"] = [np.fromstring(g[3], np.int32, sep=",") if g[3] else np.zeros(0, np.int32) for g in got]
+                yield out
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, fields).withColumnRenamed("id", id_col)
