@@ -6,7 +6,8 @@ among GAP neighbours. Copies of a passage of PARAGRAPH + GAP - 1 words or more h
 and thus share a whole paragraph, wherever the passage stands.
 
 Equal paragraphs collapse to classes. Each class has BANDS bands of one MinHash each over its runs of five
-words; classes that collide in a band with one of its hubs are verified by their exact Jaccard similarity.
+words; classes that collide in a band with one of its hubs are verified by their exact Jaccard similarity. The
+members of a bucket that are then still in different components meet in blocks, each with each.
 A pair at the least similarity of 0.8 is missed by both bands with odds of 1 in 25, and a passage has more than
 one paragraph. Links give components; the first paragraph of a component stays, the others are removed."""
 
@@ -23,8 +24,10 @@ from .common import materialise
 from .graph import components
 from .wordhash import BASE, groups, mix64, texts_words
 
-#: Words of a paragraph, words of a shingle, anchor distance, least similarity in percent, hubs of a band's bucket.
-PARAGRAPH, WIDTH, GAP, PERCENT, HUBS = 32, 5, 20, 80, 2
+#: Words of a paragraph, words of a shingle, anchor distance, least similarity in percent, hubs of a band's bucket, rows of a block.
+PARAGRAPH, WIDTH, GAP, PERCENT, HUBS, BLOCK = 32, 5, 20, 80, 2, 128
+#: Shingles of a paragraph.
+RUNS = PARAGRAPH - WIDTH + 1
 SEEDS = (0x1F123BB5, 0x7A4F0C31)
 BANDS = len(SEEDS)
 
@@ -87,6 +90,57 @@ def _fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"key": key[hit], "s": [np.unique(run[a : a + PARAGRAPH - WIDTH + 1]).astype(np.uint32).astype(np.int32) for a in anchor[hit]]})
 
 
+def _grid(sets: list[np.ndarray], values: np.ndarray) -> np.ndarray:
+    """A row for each set: which of the sorted values it holds."""
+    flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    at = np.minimum(np.searchsorted(values, flat), len(values) - 1)
+    hit = values[at] == flat
+    g = np.zeros((len(sets), len(values)), np.float32)
+    g[row[hit], at[hit]] = 1
+    return g
+
+
+def meet(a: dict, b: dict) -> list[tuple[int, int]]:
+    """Links between the far members of one block of a bucket and the members of another: enough to join all
+    components that any pair of them links."""
+    far = np.flatnonzero(a["far"])
+    sets = [a["s"][i] for i in far]
+    values = np.intersect1d(np.concatenate(sets), np.concatenate(b["s"]))
+    if not len(values):
+        return []
+    same = _grid(sets, values) @ _grid(b["s"], values).T
+    size_a, size_b = np.array([len(s) for s in sets]), np.array([len(s) for s in b["s"]])
+    key, comp = a["key"][far], a["comp"][far]
+    new = (comp[:, None] != b["comp"][None, :]) & (~b["far"][None, :] | (key[:, None] < b["key"][None, :]))
+    x, y = np.nonzero(new & (same * 100 >= PERCENT * (size_a[:, None] + size_b[None, :] - same)))
+    # one link for two components, and none that others imply
+    once = np.unique(np.stack([comp[x], b["comp"][y]], axis=1), axis=0, return_index=True)[1] if len(x) else x
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while (up := root.get(c, c)) != c:
+            root[c] = root.get(up, up)
+            c = up
+        return c
+
+    out = []
+    for i, j in zip(x[once], y[once], strict=True):
+        p, q = find(int(comp[i])), find(int(b["comp"][j]))
+        if p != q:
+            root[p] = q
+            out.append((int(key[i]), int(b["key"][j])))
+    return out
+
+
+def _meetings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def side(block) -> dict:
+        return {"key": np.array([m["key"] for m in block]), "comp": np.array([m["comp"] for m in block]), "far": np.array([m["far"] for m in block], bool), "s": [np.asarray(m["s"]) for m in block]}
+
+    for batch in batches:
+        rows = [link for one, two in zip(batch["one"], batch["two"], strict=True) for link in meet(side(one), side(two))]
+        yield pd.DataFrame(np.array(rows, np.int64).reshape(-1, 2), columns=["a", "b"])
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each stretch of words that repeats in another document: id, first_word, last_word (exclusive),
     n_words, component_id (the smallest id that has its first paragraph, or a similar one), kept.
@@ -97,7 +151,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     document. Words are runs of anything but ASCII white space, compared with A-Z in lower case. Whole texts are read."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull())
     bands = [f"m{k}" for k in range(BANDS)]
-    found = materialise(rows.mapInPandas(_emit, "id bigint, pos bigint, key bigint, " + ", ".join(f"{m} bigint" for m in bands)), "paragraphs")
+    found = rows.mapInPandas(_emit, "id bigint, pos bigint, key bigint, " + ", ".join(f"{m} bigint" for m in bands))
     classes = found.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), *[F.min(m).alias(m) for m in bands])
     classes = materialise(classes, "paragraph-classes")
     # the bands hash with seeds of their own, so a value is of one band
@@ -105,15 +159,30 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     slots = [F.min(F.when(F.pmod("key", F.lit(HUBS)) == j, F.col("key"))).alias(f"h{j}") for j in range(HUBS)]
     # a text's own paragraphs overlap, so they collide: only buckets of several documents are compared
     ends = classes.select("key", "low", "high", F.explode(F.array(*bands)).alias("value"))
-    buckets = ends.groupBy("value").agg(F.min("low").alias("least"), F.max("high").alias("most"), *slots).where("least < most").drop("least", "most")
-    hubs = posted.join(buckets, "value").select("key", F.explode(F.array(*[F.col(f"h{j}") for j in range(HUBS)])).alias("hub")).where("hub is not null and hub <> key")
+    buckets = ends.groupBy("value").agg(F.min("low").alias("least"), F.max("high").alias("most"), F.count(F.lit(1)).alias("m"), *slots).where("least < most and m > 1").drop("least", "most")
+    members = materialise(posted.join(buckets, "value"), "paragraph-members")
+    hubs = members.select("key", F.explode(F.array(*[F.col(f"h{j}") for j in range(HUBS)])).alias("hub")).where("hub is not null and hub <> key")
     pairs = materialise(hubs.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct(), "paragraph-pairs")
-    asked = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(classes.select("key", "low"), "key")
-    asked = asked.groupBy(F.col("low").alias("id")).agg(F.collect_list("key").alias("keys"))
-    sets = materialise(rows.join(asked, "id").select("text", "keys").mapInPandas(_fetch, "key bigint, s array<int>").dropDuplicates(["key"]), "paragraph-sets")
+
+    def fetched(keys: DataFrame) -> DataFrame:
+        asked = keys.join(classes.select("key", "low"), "key").groupBy(F.col("low").alias("id")).agg(F.collect_list("key").alias("keys"))
+        return materialise(rows.join(asked, "id").select("text", "keys").mapInPandas(_fetch, "key bigint, s array<int>").dropDuplicates(["key"]), "paragraph-sets")
+
+    # every member of a bucket is its hub or is paired with one
+    sets = fetched(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct())
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b")
     same = F.size(F.array_intersect("sa", "sb"))
-    links = both.where(same * 100 >= PERCENT * (F.size("sa") + F.size("sb") - same)).select("a", "b")
+    links = materialise(both.where(same * 100 >= PERCENT * (F.size("sa") + F.size("sb") - same)).select("a", "b"), "paragraph-links")
+    parts = components(links)
+    # in a bucket of two, one is the other's hub
+    where = members.where("m > 2").select("value", "key", "m").join(parts.withColumnRenamed("node", "key"), "key", "left").select("value", "key", "m", F.coalesce("component", "key").alias("comp"))
+    per = where.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("k"))
+    several = per.groupBy("value").agg(F.max(F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    open_ = where.join(several.select("value", F.col("main.comp").alias("main")), "value").select("value", "key", "comp", (F.col("comp") != F.col("main")).alias("far"), F.pmod(F.xxhash64("key"), F.ceil(F.col("m") / BLOCK)).cast("int").alias("part"))
+    blocks = open_.join(sets, "key").groupBy("value", "part").agg(F.collect_list(F.struct("key", "comp", "far", "s")).alias("block"))
+    blocks = materialise(blocks.withColumn("any", F.exists("block", lambda x: x["far"])), "paragraph-blocks")
+    met = blocks.where("any").select("value", F.col("block").alias("one")).join(blocks.select("value", F.col("block").alias("two")), "value")
+    links = links.union(materialise(met.select("one", "two").mapInPandas(_meetings, "a bigint, b bigint"), "paragraph-met"))
     parts = components(links)
     labelled = classes.join(parts.withColumnRenamed("node", "key"), "key", "left").select("key", "low", "high", F.coalesce("component", "key").alias("component"))
     spread = labelled.groupBy("component").agg(F.min("low").alias("component_id"), F.max("high").alias("high")).where("component_id < high")

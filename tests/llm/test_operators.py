@@ -107,6 +107,25 @@ def test_passages(spark, odd, nothing):
     assert cut[102] == texts[2] and cut[103] == texts[3] and len(cut[101].split()) <= 228
 
 
+def test_passages_meet_in_a_bucket(spark):
+    """Near copies that collide only where a frequent phrase has its bucket, together with many foreign paragraphs."""
+    rng = random.Random(7)
+    phrase, texts = [f"p{i}" for i in range(12)], []
+    run = passages.paragraphs([" ".join(phrase * 3)])[5][:8]
+    frequent = {v for s in passages.SEEDS for v in wordhash.mix64(run ^ np.uint64(s)).astype(np.int64).tolist()}
+    while len(texts) < 60:
+        w = phrase + [f"t{rng.randrange(10**6)}" for _ in range(28)]
+        pair = [" ".join(w), " ".join([*(w[:31]), f"e{rng.randrange(10**6)}", *w[32:]])]
+        doc, _, key, bands, anchor, run = passages.paragraphs(pair)[:6]
+        held = [(set(b.tolist()), set(run[a : a + 28].tolist()), d) for b, a, d in zip(bands, anchor, doc, strict=True)]
+        similar = any(100 * len(x[1] & y[1]) >= passages.PERCENT * len(x[1] | y[1]) for x in held for y in held if x[2] < y[2])
+        collide = {v for x in held for y in held if x[2] < y[2] for v in x[0] & y[0]}
+        if similar and collide and collide <= frequent and len(set(key.tolist())) == len(key):
+            texts += pair
+    got = {r.doc_id for r in passages.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert got == set(range(len(texts)))
+
+
 # 3 and 5
 
 
