@@ -146,7 +146,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     n_words, component_id (the smallest id that has its first paragraph, or a similar one), kept.
 
     A stretch joins overlapping repeated paragraphs. kept is true for the stretches that stay: those of the
-    smallest id, and there of the first place. Documents without such a stretch have no row; those are null,
+    smallest id, and there of the first place and what overlaps it. Where a kept and a removed stretch of a
+    document overlap, the words of both stay. Documents without such a stretch have no row; those are null,
     empty and short texts and all that repeat only inside themselves. Rows that repeat an id count as one
     document. Words are runs of anything but ASCII white space, compared with A-Z in lower case. Whole texts are read."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull())
@@ -188,9 +189,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spread = labelled.groupBy("component").agg(F.min("low").alias("component_id"), F.max("high").alias("high")).where("component_id < high")
     repeats = materialise(labelled.join(spread.select("component", "component_id"), "component").select("key", "component", "component_id"), "paragraph-repeats")
     hit = found.select("id", "pos", "key").join(repeats, "key").distinct()
-    # of the smallest id the first place stays
-    first = hit.where(F.col("id") == F.col("component_id")).groupBy("component").agg(F.min("pos").alias("first"))
-    hit = hit.join(first, "component").withColumn("kept", (F.col("id") == F.col("component_id")) & (F.col("pos") == F.col("first")))
+    # of the smallest id the first place stays, with the paragraphs that overlap it, one after the other
+    own = Window.partitionBy("component").orderBy("pos", "key")
+    gap = F.coalesce(F.col("pos") >= F.lag("pos").over(own) + PARAGRAPH, F.lit(False)).cast("int")
+    stays = hit.where(F.col("id") == F.col("component_id")).withColumn("gap", gap).withColumn("gaps", F.sum("gap").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    stays = stays.where("gaps = 0").groupBy("component").agg(F.max("pos").alias("last"))
+    hit = hit.join(stays, "component").withColumn("kept", (F.col("id") == F.col("component_id")) & (F.col("pos") <= F.col("last")))
     order = Window.partitionBy("id", "kept").orderBy("pos", "key")
     fresh = F.coalesce(F.col("pos") > F.max(F.col("pos") + PARAGRAPH).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
     runs = hit.withColumn("fresh", fresh.cast("int")).withColumn("nth", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -200,7 +204,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the removed stretches cut out of the text; rows without one, null ids and null texts stay as they are."""
-    gone = repeated_passages(docs, id_col, text_col).where("not kept").groupBy(F.col(id_col).alias("_id")).agg(F.collect_list(F.struct("first_word", "last_word")).alias("_gone"))
+    gone = repeated_passages(docs, id_col, text_col).groupBy(F.col(id_col).alias("_id")).agg(F.collect_list(F.struct("first_word", "last_word", "kept")).alias("_gone")).where(F.exists("_gone", lambda s: ~s["kept"]))
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
@@ -211,7 +215,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 continue
             raw, keep, at = text.encode("utf-8", "surrogatepass"), [], 0
             places = list(_places(raw))
-            for s in sorted((s["first_word"], s["last_word"]) for s in gone):
+            for s in _without(gone):
                 keep.append(raw[at : max(at, places[s[0]][0])])
                 at = max(at, places[s[1] - 1][1])
             out.append((b"".join(keep) + raw[at:]).decode("utf-8", "surrogatepass"))
@@ -221,6 +225,20 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return joined.withColumn(text_col, cut(F.col(text_col), F.col("_gone"))).select(*docs.columns)
 
 
+def _without(spans) -> list[tuple[int, int]]:
+    """The removed stretches in order, less the words of the kept ones."""
+    stay, out = sorted((s["first_word"], s["last_word"]) for s in spans if s["kept"]), []
+    for at, last in sorted((s["first_word"], s["last_word"]) for s in spans if not s["kept"]):
+        for a, b in stay:
+            if a < last and b > at:
+                if at < a:
+                    out.append((at, a))
+                at = b
+        if at < last:
+            out.append((at, last))
+    return out
+
+
 def _places(raw: bytes):
     from .wordhash import word_spans
 

@@ -126,6 +126,26 @@ def test_passages_meet_in_a_bucket(spark):
     assert got == set(range(len(texts)))
 
 
+def test_passages_keep_one_copy(spark):
+    """Overlapping paragraphs of a passage link with each other; the smallest document keeps them all."""
+    rng = random.Random(3)
+    fresh = lambda n: [f"k{rng.randrange(10**9)}" for _ in range(n)]
+    shared, texts = [fresh(80) for _ in range(30)], []
+    for s in shared:
+        texts += [" ".join(fresh(40) + s + fresh(40)) for _ in range(3)]
+    # the second passage overlaps the first in document 91; it stays in 90
+    a, b = fresh(80), fresh(60)
+    texts += [" ".join(fresh(30) + a[40:] + b), " ".join(a + b + fresh(30)), " ".join(fresh(20) + a)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = passages.repeated_passages(docs).collect()
+    assert {r.doc_id for r in rows if r.kept} >= set(range(0, 90, 3))
+    assert not [r for r in rows if r.doc_id < 90 and r.doc_id % 3 == 0 and not r.kept]
+    cut = {r.doc_id: r.text for r in passages.without_repeats(docs).collect()}
+    assert all(cut[i] == texts[i] for i in range(0, 91, 3)) and sum(len(cut[i].split()) for i in range(90) if i % 3) < 60 * 120
+    left = {tuple(w[i : i + 5]) for w in (t.split() for t in cut.values()) for i in range(len(w) - 4)}
+    assert all(tuple(s[i : i + 5]) in left for s in [*shared, a] for i in range(len(s) - 4))
+
+
 # 3 and 5
 
 
