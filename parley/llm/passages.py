@@ -24,8 +24,9 @@ from .common import materialise
 from .graph import components
 from .wordhash import BASE, groups, mix64, texts_words
 
-#: Words of a paragraph, words of a shingle, anchor distance, least similarity in percent, hubs of a band's bucket, rows of a block.
-PARAGRAPH, WIDTH, GAP, PERCENT, HUBS, BLOCK = 32, 5, 20, 80, 2, 128
+#: Words of a paragraph, words of a shingle, anchor distance, least similarity in percent, hubs of a band's bucket, rows of a
+#: small bucket, rows of a block.
+PARAGRAPH, WIDTH, GAP, PERCENT, HUBS, SMALL, BLOCK = 32, 5, 20, 80, 2, 16, 64
 #: Shingles of a paragraph.
 RUNS = PARAGRAPH - WIDTH + 1
 SEEDS = (0x1F123BB5, 0x7A4F0C31)
@@ -133,11 +134,13 @@ def meet(a: dict, b: dict) -> list[tuple[int, int]]:
 
 
 def _meetings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    def side(block) -> dict:
-        return {"key": np.array([m["key"] for m in block]), "comp": np.array([m["comp"] for m in block]), "far": np.array([m["far"] for m in block], bool), "s": [np.asarray(m["s"]) for m in block]}
+    def side(r, s: str) -> dict:
+        size = np.asarray(getattr(r, f"size_{s}"))
+        sets = np.split(np.asarray(getattr(r, f"s_{s}")), np.cumsum(size)[:-1])
+        return {c: np.asarray(getattr(r, f"{c}_{s}")) for c in ("key", "comp", "far")} | {"s": sets}
 
     for batch in batches:
-        rows = [link for one, two in zip(batch["one"], batch["two"], strict=True) for link in meet(side(one), side(two))]
+        rows = [link for r in batch.itertuples() for link in meet(side(r, "a"), side(r, "b"))]
         yield pd.DataFrame(np.array(rows, np.int64).reshape(-1, 2), columns=["a", "b"])
 
 
@@ -179,11 +182,18 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     where = members.where("m > 2").select("value", "key", "m").join(parts.withColumnRenamed("node", "key"), "key", "left").select("value", "key", "m", F.coalesce("component", "key").alias("comp"))
     per = where.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("k"))
     several = per.groupBy("value").agg(F.max(F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    open_ = where.join(several.select("value", F.col("main.comp").alias("main")), "value").select("value", "key", "comp", (F.col("comp") != F.col("main")).alias("far"), F.pmod(F.xxhash64("key"), F.ceil(F.col("m") / BLOCK)).cast("int").alias("part"))
-    blocks = open_.join(sets, "key").groupBy("value", "part").agg(F.collect_list(F.struct("key", "comp", "far", "s")).alias("block"))
-    blocks = materialise(blocks.withColumn("any", F.exists("block", lambda x: x["far"])), "paragraph-blocks")
-    met = blocks.where("any").select("value", F.col("block").alias("one")).join(blocks.select("value", F.col("block").alias("two")), "value")
-    links = links.union(materialise(met.select("one", "two").mapInPandas(_meetings, "a bigint, b bigint"), "paragraph-met"))
+    part = F.when(F.col("m") > SMALL, F.pmod(F.xxhash64("key"), F.ceil(F.col("m") / BLOCK))).otherwise(0).cast("int").alias("part")
+    open_ = where.join(several.select("value", F.col("main.comp").alias("main")), "value").select("value", "m", "key", "comp", (F.col("comp") != F.col("main")).alias("far"), part)
+    blocks = open_.join(sets, "key").groupBy("value", "m", "part").agg(F.collect_list(F.struct("key", "comp", "far", "s")).alias("b"))
+    blocks = materialise(blocks.withColumn("any", F.exists("b", lambda x: x["far"])), "paragraph-blocks")
+    few = blocks.where(f"m <= {SMALL}").select("b", F.explode("b").alias("x")).where("x.far").select("x", F.explode("b").alias("y"))
+    few = few.where("x.comp <> y.comp and (not y.far or x.key < y.key)")
+    same = F.size(F.array_intersect("x.s", "y.s"))
+    few = few.where(same * 100 >= PERCENT * (F.size("x.s") + F.size("y.s") - same)).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
+    many = blocks.where(f"m > {SMALL}")
+    told = lambda s: [*[F.col(f"b.{c}").alias(f"{c}_{s}") for c in ("key", "comp", "far")], F.transform("b.s", F.size).alias(f"size_{s}"), F.flatten("b.s").alias(f"s_{s}")]
+    met = many.where("any").select("value", *told("a")).join(many.select("value", *told("b")), "value").drop("value")
+    links = links.union(materialise(few.union(met.mapInPandas(_meetings, "a bigint, b bigint")), "paragraph-met"))
     parts = components(links)
     labelled = classes.join(parts.withColumnRenamed("node", "key"), "key", "left").select("key", "low", "high", F.coalesce("component", "key").alias("component"))
     spread = labelled.groupBy("component").agg(F.min("low").alias("component_id"), F.max("high").alias("high")).where("component_id < high")
