@@ -150,38 +150,48 @@ def snippet(sentences: Column, text: Column, ideas: list[set[str]]) -> Column:
     return run(sentences, text)
 
 
-def search(index: Index, query: str, fuzzy: bool = False, limit: int = 10, max_per_message: int = 2, keep: Filter | None = None, as_of: int = 0) -> Found:
-    """The ranked hits of a query. as_of is the time that recency counts from, in milliseconds; a limit or cap of 0 has no hits."""
+def search(index: Index, query: str, fuzzy: bool = False, limit: int | None = 10, max_per_message: int | None = 2, keep: Filter | None = None, as_of: int = 0) -> Found:
+    """The ranked hits of a query. as_of is the time that recency counts from, in milliseconds; a limit or cap of 0 has no hits.
+    Without a limit (None) every hit is returned, unordered and with a null rank; without a cap (None) every unit of a message counts."""
     spark, keep = index.units.sparkSession, keep or Filter()
     parts = parse(query)
     terms, prefixes, loose = wanted(parts)
     compiler = Compiler(index.lookup(terms, prefixes, loose if fuzzy else set()), fuzzy)
     plan = compiler.plan(parts)
     none = spark.createDataFrame([], "term string, units bigint")
-    if plan.empty or limit < 1 or max_per_message < 1:
+    if plan.empty or (limit is not None and limit < 1) or (max_per_message is not None and max_per_message < 1):
         return Found(spark.createDataFrame([], HIT), plan.unknown, plan.fuzzy, none)
     order = [F.desc("total"), "ord", "message_seq", "unit_seq", "unit_id"]
-    top = score_units(index, plan, compiler, keep, as_of).orderBy(*order).limit(OVERFETCH * limit)
-    # at most OVERFETCH * limit rows from here on
-    all_ = Window.partitionBy()
-    top = top.withColumn("best", F.max("total").over(all_)).withColumn("nth", F.row_number().over(Window.partitionBy("message_id").orderBy(*order))).where(F.col("nth") <= max_per_message)
-    top = top.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))).where(F.col("rank") <= limit)
+    top = score_units(index, plan, compiler, keep, as_of)
+    if limit is not None:
+        top = top.orderBy(*order).limit(OVERFETCH * limit)
+        # at most OVERFETCH * limit rows from here on
+        top = top.withColumn("best", F.max("total").over(Window.partitionBy()))
+    else:
+        top = top.crossJoin(F.broadcast(top.agg(F.max("total").alias("best"))))
+    if max_per_message is not None:
+        top = top.withColumn("nth", F.row_number().over(Window.partitionBy("message_id").orderBy(*order))).where(F.col("nth") <= max_per_message)
+    if limit is not None:
+        top = F.broadcast(top.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))).where(F.col("rank") <= limit))
+    else:
+        top = top.withColumn("rank", F.lit(None).cast("int"))
     # texts are read for the hits only
     text = index.of(index.units).select("unit_id", "session_id", "session_ref", "message_ref", "author", "role", "ts", "text", "sentences")
-    full = F.broadcast(top).join(text, "unit_id")
+    full = top.join(text, "unit_id")
     ideas = [c.texts for _, _, c in plan.ideas]
     hits = full.select(
         "rank", "unit_id", "message_id", "session_id", "session_ref", "message_ref", "author", "role", "ts",
         F.when(F.col("best") > 0, F.col("total") / F.col("best")).otherwise(0.0).alias("score"), F.col("total").alias("raw"), "covered", "ideas", "matched", "nearby",
         F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("words"), snippet(F.col("sentences"), F.col("text"), ideas).alias("snippet"), "text",
-    ).orderBy("rank")
-    return Found(hits, plan.unknown, plan.fuzzy, hints(index, hits, set().union(*ideas)))
+    )
+    hits = hits if limit is None else hits.orderBy("rank")
+    return Found(hits, plan.unknown, plan.fuzzy, hints(index, hits, set().union(*ideas), limit is not None))
 
 
-def hints(index: Index, hits: DataFrame, asked: set[str]) -> DataFrame:
+def hints(index: Index, hits: DataFrame, asked: set[str], few: bool = True) -> DataFrame:
     """Lemmas of the hits that the query didn't ask for and that HINT_LEAST units or more hold, rarest first."""
     lemmas = hits.select(F.explode(normalize.forms(normalize.words(F.col("text")))["lemma"]).alias("term")).where("term <> ''").distinct()
     if asked:
         lemmas = lemmas.where(~F.col("term").isin(*sorted(asked)))
     known = index.term_stats().where("field = 'lemma'").where(F.col("df") >= HINT_LEAST)
-    return known.join(F.broadcast(lemmas), "term").select("term", F.col("df").alias("units")).orderBy("units", "term").limit(HINTS)
+    return known.join(F.broadcast(lemmas) if few else lemmas, "term").select("term", F.col("df").alias("units")).orderBy("units", "term").limit(HINTS)

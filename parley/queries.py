@@ -32,7 +32,7 @@ def _index(spark: SparkSession, sf_dir: str, kind: str = "turns") -> tuple[DataF
 
 def _hits(spark, sf_dir, query, **more) -> DataFrame:
     _, index = _index(spark, sf_dir)
-    found = search(index, query, as_of=more.pop("as_of", AS_OF), limit=more.pop("limit", 100_000), max_per_message=more.pop("cap", 100), **more).hits
+    found = search(index, query, as_of=more.pop("as_of", AS_OF), limit=more.pop("limit", None), max_per_message=more.pop("cap", None), **more).hits
     return found.select(F.col("session_ref").cast("long").alias("conv_id"), F.col("message_ref").cast("long").alias("turn"), F.round("score", 6).alias("score"), F.round("raw", 6).alias("raw"), F.col("covered").cast("long").alias("covered"))
 
 

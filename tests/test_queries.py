@@ -31,3 +31,18 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0 and set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("name", ["bm25_term", "filter_role", "all_fields"])
+def test_no_caps(spark, name, monkeypatch):
+    """Queries that aren't top-k reports return every hit."""
+    asked = []
+    monkeypatch.setattr(q, "search", lambda *a, search=q.search, **k: asked.append((k["limit"], k["max_per_message"])) or search(*a, **k))
+    assert q.QUERIES[name](spark, SF).count() > 0 and asked == [(None, None)]
+
+
+def test_all_hits(spark):
+    """Without a limit or cap: the hits of a limit that none exceeds."""
+    _, index = q._index(spark, SF)
+    told = lambda **k: sorted((r.unit_id, round(r.score, 9)) for r in q.search(index, "the and", as_of=q.AS_OF, **k).hits.collect())
+    assert told(limit=None, max_per_message=None) == told(limit=10**6, max_per_message=10**6)
