@@ -7,13 +7,14 @@ come from at least PAGES distinct pages are runs that the host repeats: its boil
 article element loses the covered tokens and keeps its unique runs. Where a page marks its article, the
 mark decides: a run that repeats inside articles is a copied article or a quotation, which must stay.
 
-A hot host is dealt into groups of about GROUP pages by a hash of the page; each group is large enough to
-show what the host repeats, and none grows with the host."""
+A hot host is dealt into groups of about GROUP pages by a hash of the page, and none grows with the host. There
+the distinct pages of each run are counted by the run's hash over the whole host, and each page gets its repeated runs."""
 
 from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
+from .wordhash import shingles, texts_words
 
 #: Tokens of a repeated run (a power of 2), distinct pages that must share it, pages of a group.
 RUN, PAGES, GROUP = 8, 3, 128
@@ -161,13 +163,55 @@ def repeated(streams: list[np.ndarray], run: int = RUN, pages: int = PAGES) -> l
     return np.split(covered, np.cumsum(sizes)[:-1])
 
 
-def main_texts(parsed: list[list[Block]]) -> list[str]:
-    """The main text of each page of one host."""
+def run_hashes(page: list[Block]) -> np.ndarray:
+    """The hashes of a page's runs of RUN tokens, by their first token."""
+    words, _ = texts_words([" ".join(b.text for b in page)], lower=False)
+    return shingles(words, RUN).astype(np.int64) if len(words) >= RUN else np.zeros(0, np.int64)
+
+
+def covered_by(page: list[Block], runs: np.ndarray) -> np.ndarray:
+    """Which tokens of a page lie in one of the runs with these hashes."""
+    edge = np.zeros(sum(b.text.count(" ") + 1 for b in page) + 1, np.int64)
+    hit = np.flatnonzero(np.isin(run_hashes(page), runs))
+    edge[hit] += 1
+    edge[hit + RUN] -= 1
+    return np.cumsum(edge[:-1]) > 0
+
+
+def _unmarked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The hosts that have pages with text and without an article element."""
+    for b in batches:
+        pages = [blocks(h) for h in b["html"]]
+        yield pd.DataFrame({"host": sorted({h for h, p in zip(b["host"], pages, strict=True) if p and not any(x.inside for x in p)})}, dtype=object)
+
+
+def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        for host, page, text in zip(b["host"], b["page"], b["html"], strict=True):
+            yield pd.DataFrame({"run": np.unique(run_hashes(blocks(text)))}).assign(host=host, page=page)[["host", "page", "run"]]
+
+
+def host_runs(hot: DataFrame) -> DataFrame | None:
+    """(host, page, runs) of rows (host, page, html): the hashes of the runs of each page that at least PAGES distinct
+    pages of its host share. Only hosts with a page that marks no article; None if there are none."""
+    hosts = materialise(hot.select("host", "html").mapInPandas(_unmarked, "host string").distinct(), "unmarked-hosts")
+    if hosts.isEmpty():
+        return None
+    runs = materialise(hot.join(hosts, "host").select("host", "page", "html").mapInPandas(_runs, "host string, page bigint, run bigint").distinct(), "page-runs")
+    often = runs.groupBy("host", "run").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= PAGES).drop("pages")
+    return materialise(runs.join(often, ["host", "run"]).groupBy("host", "page").agg(F.collect_list("run").alias("runs")), "repeated-runs")
+
+
+def main_texts(parsed: list[list[Block]], known: list[np.ndarray] | None = None) -> list[str]:
+    """The main text of each page of one host. known: the hashes of each page's repeated runs, if they were counted before."""
     number: dict[str, int] = {}
     split = [[b.text.split(" ") for b in page] for page in parsed]
-    streams = [np.fromiter((number.setdefault(t, len(number)) for b in page for t in b), np.int64) for page in split]
+    if known is None:
+        cover = repeated([np.fromiter((number.setdefault(t, len(number)) for b in page for t in b), np.int64) for page in split])
+    else:
+        cover = [covered_by(page, runs) for page, runs in zip(parsed, known, strict=True)]
     out = []
-    for page, words, covered in zip(parsed, split, repeated(streams), strict=True):
+    for page, words, covered in zip(parsed, split, cover, strict=True):
         if any(b.inside for b in page):
             out.append("\n".join(b.text for b in page if b.inside and not b.skipped))
             continue
@@ -194,13 +238,23 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     large = materialise(large, "large-hosts")
     large = F.broadcast(large) if large.count() <= LARGE_HOSTS else large
     at = F.pmod(F.xxhash64("id", "url"), F.ceil(F.coalesce("n", F.lit(1)) / GROUP)).cast("int")
+    page = F.xxhash64("html").alias("page")
+    told = host_runs(rows.where("html <> ''").join(large.select("host"), "host").select("host", page, "html"))
+    if told is None:
+        rows = rows.withColumn("runs", F.lit(None).cast("array<bigint>"))
+    else:
+        rows = rows.select("*", page).join(told, ["host", "page"], "left").drop("page")
     # dealt by host and part: by the host alone, a hot one would be one task
-    dealt = rows.join(large, "host", "left").withColumn("part", at).drop("n").repartition("host", "part")
+    dealt = rows.join(large, "host", "left").withColumn("part", at).withColumn("hot", F.col("n").isNotNull()).drop("n").repartition("host", "part")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         htmls = group["html"].fillna("").tolist()
         once = list(dict.fromkeys(htmls))
-        text = dict(zip(once, main_texts([blocks(h) for h in once]), strict=True))
+        known = None
+        if group["hot"].iloc[0]:
+            of = dict(zip(htmls, group["runs"], strict=True))
+            known = [np.zeros(0, np.int64) if of[h] is None else np.asarray(of[h], np.int64) for h in once]
+        text = dict(zip(once, main_texts([blocks(h) for h in once], known), strict=True))
         out = pd.DataFrame({"id": group["id"], "url": group["url"], "text": [text[h] for h in htmls]})
         out["n_chars"] = out["text"].map(len).astype("int64")
         return out

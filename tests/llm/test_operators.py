@@ -249,6 +249,17 @@ def test_html(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).isEmpty()
 
 
+def test_html_hot_host(spark):
+    """A notice that a few pages of a section share goes, however many pages the host has."""
+    notice = "<div>this notice stands on a few pages of one section only</div>"
+    rows = [(i, f"http://hot.h/{i}", f"<body>{notice if i % 100 == 0 else ''}<p>own{i} text{i}</p></body>") for i in range(1000)]
+    rows += [(2000 + i, f"http://small.h/{i}", f"<body>{notice}<p>own{i} text{i}</p></body>") for i in range(10)]
+    rows += [(3000, "http://hot.h/x", f"<body><article>{notice}</article></body>"), (3001, "http://hot.h/y", None)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert len(got) == len(rows) and got[3000].startswith("this notice") and got[3001] == ""
+    assert all(got[i] == f"own{i} text{i}" for i in range(1000)) and all(got[2000 + i] == f"own{i} text{i}" for i in range(10))
+
+
 def test_repeated_runs():
     rng = np.random.default_rng(2)
     streams = [rng.integers(0, 4, 60) for _ in range(5)]
