@@ -27,6 +27,8 @@ from .wordhash import BASE, groups, mix64, texts_words
 #: Words of a paragraph, words of a shingle, anchor distance, least similarity in percent, hubs of a band's bucket, rows of a
 #: small bucket, rows of a block.
 PARAGRAPH, WIDTH, GAP, PERCENT, HUBS, SMALL, BLOCK = 32, 5, 20, 80, 2, 16, 64
+#: The setting of the rows that reach Python at once, and its value for pairs of blocks.
+BATCH, PASSED = "spark.sql.execution.arrow.maxRecordsPerBatch", 64
 #: Shingles of a paragraph.
 RUNS = PARAGRAPH - WIDTH + 1
 SEEDS = (0x1F123BB5, 0x7A4F0C31)
@@ -102,8 +104,8 @@ def _grid(sets: list[np.ndarray], values: np.ndarray) -> np.ndarray:
 
 
 def meet(a: dict, b: dict) -> list[tuple[int, int]]:
-    """Links between the far members of one block of a bucket and the members of another: enough to join all
-    components that any pair of them links."""
+    """Links between the components of the far members of one block of a bucket and those of the members of another:
+    enough to join all that any pair of them links."""
     far = np.flatnonzero(a["far"])
     sets = [a["s"][i] for i in far]
     values = np.intersect1d(np.concatenate(sets), np.concatenate(b["s"]))
@@ -129,7 +131,7 @@ def meet(a: dict, b: dict) -> list[tuple[int, int]]:
         p, q = find(int(comp[i])), find(int(b["comp"][j]))
         if p != q:
             root[p] = q
-            out.append((int(key[i]), int(b["key"][j])))
+            out.append((int(comp[i]), int(b["comp"][j])))
     return out
 
 
@@ -189,13 +191,23 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     few = blocks.where(f"m <= {SMALL}").select("b", F.explode("b").alias("x")).where("x.far").select("x", F.explode("b").alias("y"))
     few = few.where("x.comp <> y.comp and (not y.far or x.key < y.key)")
     same = F.size(F.array_intersect("x.s", "y.s"))
-    few = few.where(same * 100 >= PERCENT * (F.size("x.s") + F.size("y.s") - same)).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
+    few = few.where(same * 100 >= PERCENT * (F.size("x.s") + F.size("y.s") - same)).select(F.least("x.comp", "y.comp").alias("a"), F.greatest("x.comp", "y.comp").alias("b")).distinct()
     many = blocks.where(f"m > {SMALL}")
     told = lambda s: [*[F.col(f"b.{c}").alias(f"{c}_{s}") for c in ("key", "comp", "far")], F.transform("b.s", F.size).alias(f"size_{s}"), F.flatten("b.s").alias(f"s_{s}")]
     met = many.where("any").select("value", *told("a")).join(many.select("value", *told("b")), "value").drop("value")
-    links = links.union(materialise(few.union(met.mapInPandas(_meetings, "a bigint, b bigint")), "paragraph-met"))
-    parts = components(links)
-    labelled = classes.join(parts.withColumnRenamed("node", "key"), "key", "left").select("key", "low", "high", F.coalesce("component", "key").alias("component"))
+    few = materialise(few, "paragraph-few")
+    # blocks are long rows: few of them reach Python at once
+    conf = docs.sparkSession.conf
+    before = conf.get(BATCH)
+    conf.set(BATCH, str(PASSED))
+    try:
+        met = materialise(met.mapInPandas(_meetings, "a bigint, b bigint"), "paragraph-met")
+    finally:
+        conf.set(BATCH, before)
+    # these link components, so only those are joined further
+    late = components(few.union(met)).select(F.col("node").alias("comp"), F.col("component").alias("joined"))
+    labelled = classes.join(parts.withColumnRenamed("node", "key"), "key", "left").select("key", "low", "high", F.coalesce("component", "key").alias("comp"))
+    labelled = labelled.join(late, "comp", "left").select("key", "low", "high", F.coalesce("joined", "comp").alias("component"))
     spread = labelled.groupBy("component").agg(F.min("low").alias("component_id"), F.max("high").alias("high")).where("component_id < high")
     repeats = materialise(labelled.join(spread.select("component", "component_id"), "component").select("key", "component", "component_id"), "paragraph-repeats")
     hit = found.select("id", "pos", "key").join(repeats, "key").distinct()
