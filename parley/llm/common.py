@@ -19,18 +19,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the one of spark.checkpoint.dir.
-    Only where the session names none (tests in local mode) a temporary folder serves."""
+    """The folder that driver and executors share: the one of spark.checkpoint.dir. Only in local mode, where all
+    share one disk, a temporary folder serves if the session names none; elsewhere that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="parley-"))
     return f"file://{_own_dir[0]}"
 
 
-#: Whether Spark drops the shuffle files of a query once it has ended.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written, Spark drops the shuffle files of the query once it has ended, and what reaches Python at
+#: once is bounded in rows and in bytes, so that a worker's memory doesn't grow with the length of texts or arrays.
+WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+}
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -39,12 +46,14 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     table is all that stays: the shuffle files behind it are dropped at once, not when the driver's garbage is."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
+    before = {k: spark.conf.get(k) for k in WRITING}
+    for k, v in WRITING.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,38 +1,44 @@
 """N-gram Jaccard join with several global orders of the shingles.
 
-If two sets are similar, their prefixes under any one order of all shingles share a shingle. Three orders
-are used, each with frequent shingles last (by hashed counts over all documents) and its own hash order
-within a frequency class. Candidates share prefix shingles under the first order; those that don't share
-one under each of the others are dropped before whole sets are compared.
+If two sets are similar, their prefixes under any one order of all shingles share a shingle. Three orders are
+used, each with frequent shingles last and its own hash order within a frequency class. Classes come from hashed
+counts over all documents; shingles that are still in more than HEAVY prefixes then go to the very end, so that what
+many documents quote doesn't make them candidates. Candidates share a prefix shingle under the first order, at places
+that allow the similarity; those that don't share one under each of the others are dropped before whole sets
+are compared.
 
 Equal sets collapse first. A group of many near copies must not become all its pairs, as only components
 are asked for, and none may be lost either:
 
-1. In the bucket of each prefix shingle, members are compared with a few hubs of the bucket.
-2. Members of a small bucket that are still in different components are compared pair by pair.
-3. Those of a large bucket meet in blocks. A meeting compares prefixes
-   and their positions, and passes on a few candidates for each member and foreign component; more are asked
-   for, four times as many each time, until a member has joined the component or no candidate remains."""
+1. In the bucket of each prefix shingle, members of small buckets are paired, those of others are paired with a few hubs.
+2. Members of those others that are then in different components meet in blocks of slim rows. A meeting compares sizes
+   and places, and passes on a few candidates for each member and foreign component; more are asked for, four
+   times as many each time, until a member has joined the component or no candidate remains."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
-from .graph import components
+from .graph import components, extended
 from .wordhash import groups, mix64, shingles, texts_words
 
 #: The most ids, of 16 bytes, that are broadcast.
 SENT = 200_000
 #: Bits of the hashed counts, orders besides the first, hubs of a bucket, rows of a small bucket, rows of a block.
-COUNT_BITS, MORE_ORDERS, HUBS, SMALL, BLOCK = 15, (0x51ED270B, 0x2545F491), 4, 64, 256
-#: Rows that a task passes on at once.
-PASSED = 512
+COUNT_BITS, MORE_ORDERS, HUBS, SMALL, BLOCK = 15, (0x51ED270B, 0x2545F491), 4, 16, 512
+#: Prefixes from which on a shingle is heavy, and the most shingles, of 8 bytes, that are kept as such: the heaviest. Both
+#: only shape the order; any order gives the same result.
+HEAVY, MOST_HEAVY = 64, 1 << 18
+#: Sets that a task passes on at once.
+PASSED = 256
+#: The bit of an order that is set for heavy shingles.
+LAST = np.uint64(1 << 63)
 
 
 def _sets(texts: list[str | None], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -58,22 +64,27 @@ def _keys(s: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix64(total[at[1:]] - total[at[:-1]] + np.diff(at).astype(np.uint64)).astype(np.int64)
 
 
+def _lists(parts: list[np.ndarray], kind) -> pa.Array:
+    flat = np.concatenate([np.zeros(0, kind), *parts]).astype(kind, copy=False)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)), pa.array(flat))
+
+
 def _profile(width: int):
-    """(id, key, n) rows of documents and (bucket, count) rows of each task's shingles."""
+    """(id, at, key, n) rows of documents and (bucket, count) rows of each task's shingles."""
+    names = ["id", "at", "key", "n", "bucket", "count"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << COUNT_BITS, np.int64)
         for b in batches:
             keys, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for s, at in _sets(b["text"].tolist(), width):
+            for s, at in _sets(b.column("text").to_pylist(), width):
                 keys.append(_keys(s, at))
                 sizes.append(np.diff(at))
                 total += np.bincount((s >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=1 << COUNT_BITS)
-            keys, sizes = np.concatenate(keys), np.concatenate(sizes)
-            yield pd.DataFrame({"id": b["id"], "key": pd.array(keys, "Int64"), "n": pd.array(sizes, "Int64"), "bucket": pd.array([None] * len(b), "Int64"), "count": pd.array([None] * len(b), "Int64")})
+            none = pa.nulls(b.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("at"), pa.array(np.concatenate(keys)), pa.array(np.concatenate(sizes)), none, none], names)
         at = np.flatnonzero(total)
-        none = pd.array([None] * len(at), "Int64")
-        yield pd.DataFrame({"id": none, "key": none, "n": none, "bucket": at, "count": total[at]})
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64())] * 4 + [pa.array(at), pa.array(total[at])], names)
 
     return run
 
@@ -85,190 +96,222 @@ def frequency_classes(counts: np.ndarray) -> np.ndarray:
     return np.minimum(np.where(excess > 0, 1 + np.log2(excess + 1), 0), 31).astype(np.uint64)
 
 
+def _order(s: np.ndarray, classes: np.ndarray, heavy: np.ndarray, seed: int) -> np.ndarray:
+    """The place of each shingle in the global order of this seed: heavy ones last, then by class, then by hash."""
+    o = classes[(s >> np.uint64(64 - COUNT_BITS)).astype(np.int64)] << np.uint64(58)
+    if len(heavy):
+        o[heavy[np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)] == s] |= LAST
+    return o | (mix64(s ^ np.uint64(seed)) >> np.uint64(6))
+
+
+def prefix_size(n: int, percent: int) -> int:
+    return n - -(-percent * n // 100) + 1
+
+
 def _prefixes(width: int, percent: int, shared):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        classes = shared.value
+    """(key, n, p) of documents with words: the places of their prefix shingles in the first order, ascending."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, heavy = shared.value
+        for b in batches:
+            for s, at in _sets(b.column("text").to_pylist(), width):
+                order, full, parts = _order(s, classes, heavy, 0), np.diff(at) > 0, []
+                for i, j in zip(at[:-1][full], at[1:][full], strict=True):
+                    p = prefix_size(int(j - i), percent)
+                    parts.append(np.sort(np.partition(order[i:j], p - 1)[:p]))
+                yield pa.RecordBatch.from_arrays([pa.array(_keys(s, at)[full]), pa.array(np.diff(at)[full]), _lists(parts, np.int64)], ["key", "n", "p"])
+
+    return run
+
+
+def _often(width: int, percent: int, shared):
+    """The prefix shingles of each document under the first order, by their hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, heavy = shared.value
         for b in batches:
-            rows = []
-            for s, at in _sets(b["text"].tolist(), width):
-                first = classes[(s >> np.uint64(64 - COUNT_BITS)).astype(np.int64)] << np.uint64(58)
-                orders = [first | (mix64(s ^ np.uint64(seed)) >> np.uint64(6)) for seed in (0, *MORE_ORDERS)]
-                for k, i, j in zip(_keys(s, at), at[:-1], at[1:], strict=True):
+            for s, at in _sets(b.column("text").to_pylist(), width):
+                order, parts = _order(s, classes, heavy, 0), [np.zeros(0, np.uint64)]
+                for i, j in zip(at[:-1], at[1:], strict=True):
                     if i < j:
-                        n = int(j - i)
-                        p = n - -(-percent * n // 100) + 1
-                        cut = [np.sort(np.partition(o[i:j], p - 1)[:p]) for o in orders]
-                        rows.append((k, n, cut[0].astype(np.int64), *[c.astype(np.uint32).astype(np.int32) for c in cut[1:]]))
-                if len(rows) >= PASSED:
-                    yield pd.DataFrame(rows, columns=["key", "n", "p1", "p2", "p3"])
-                    rows = []
-            yield pd.DataFrame(rows, columns=["key", "n", "p1", "p2", "p3"])
+                        p = prefix_size(int(j - i), percent)
+                        parts.append(s[i:j][np.argpartition(order[i:j], p - 1)[:p]])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).astype(np.int64))], ["shingle"])
 
     return run
 
 
-def _whole(width: int):
-    """The sets of rows (key, text) whose text has that key."""
+def _whole(width: int, percent: int, shared):
+    """(key, n, p2, p3, s): the sets of rows (key, text) whose text has that key, and their prefixes under the other orders."""
+
+    def told(rows: list) -> pa.RecordBatch:
+        keys, sets, prefixes = zip(*rows, strict=True)
+        columns = [pa.array(np.array(keys, np.int64)), pa.array(np.array([len(s) for s in sets], np.int64))]
+        columns += [_lists([p[k] for p in prefixes], np.int32) for k in range(len(MORE_ORDERS))]
+        return pa.RecordBatch.from_arrays([*columns, _lists([s.astype(np.int64) for s in sets], np.int64)], ["key", "n", "p2", "p3", "s"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, heavy = shared.value
         for b in batches:
-            rows, asked = [], b["key"].to_numpy()
-            for s, at in _sets(b["text"].tolist(), width):
+            rows, size, asked = [], 0, b.column("key").to_numpy()
+            for s, at in _sets(b.column("text").to_pylist(), width):
                 keys = _keys(s, at)
-                rows += [(k, s[i:j].astype(np.int64)) for k, want, i, j in zip(keys, asked[: len(keys)], at[:-1], at[1:], strict=True) if k == want]
+                orders = [_order(s, classes, heavy, seed) for seed in MORE_ORDERS]
+                for k, want, i, j in zip(keys, asked, at[:-1], at[1:]):
+                    if k == want and i < j:
+                        p = prefix_size(int(j - i), percent)
+                        rows.append((k, s[i:j], [np.partition(o[i:j], p - 1)[:p].astype(np.uint32).astype(np.int32) for o in orders]))
+                        size += j - i
                 asked = asked[len(keys) :]
-                if len(rows) >= PASSED:
-                    yield pd.DataFrame(rows, columns=["key", "s"])
-                    rows = []
-            yield pd.DataFrame(rows, columns=["key", "s"])
+                if len(rows) >= PASSED or size >= PASSED << 10:
+                    yield told(rows)
+                    rows, size = [], 0
+            if rows:
+                yield told(rows)
 
     return run
 
 
-def meet(token: int, a: dict, b: dict, percent: int, most: int) -> list[tuple[int, int, bool]]:
-    """Candidates between two blocks of a bucket: (key, key, False), and (key, key, True) for the last of a member
-    and a foreign component of which there are more than `most`.
-
-    A pair passes if it could be similar by its sizes, by how many shingles before the end of the other's
-    prefix each has that the other lacks, and if this bucket is that of its first common prefix shingle."""
-    pa, pb = a["p1"], b["p1"]
-    values, back = np.unique(np.concatenate(pa + pb), return_inverse=True)
-    many = np.bincount(back) > 1
-    column = np.cumsum(many) - 1
-
-    def grid(ps: list[np.ndarray], back: np.ndarray) -> np.ndarray:
-        g = np.zeros((len(ps), int(many.sum())), np.float32)
-        row = np.repeat(np.arange(len(ps)), [len(p) for p in ps])
-        g[row[many[back]], column[back[many[back]]]] = 1
-        return g
-
-    na_all = sum(map(len, pa))
-    ga, gb = grid(pa, back[:na_all]), grid(pb, back[na_all:])
-    early = values[many] < token
-    common = ga @ gb.T
-    ok = (ga[:, early] @ gb[:, early].T) == 0
-    na, nb = a["n"][:, None], b["n"][None, :]
+def meet(a: dict, b: dict, percent: int, most: int) -> tuple[np.ndarray, ...]:
+    """Candidates between the far members of one block of a bucket and all of another: (x, y, component of x, of y, more).
+    `more` marks the last of a member and a foreign component of which there are more than `most`.
+
+    A pair passes if its sizes and the places of this shingle in the two prefixes allow the similarity, in case that
+    it is the first that they have in common."""
+    far = np.flatnonzero(a["far"])
+    na, nb = a["n"][far][:, None], b["n"][None, :]
     need = -(-percent * (na + nb) // (100 + percent))
-    last_a, last_b = np.array([p[-1] for p in pa]), np.array([p[-1] for p in pb])
-    lacks_b = np.stack([np.searchsorted(p, last_b, "right") for p in pa]) - common
-    lacks_a = np.stack([np.searchsorted(p, last_a, "right") for p in pb], axis=1) - common
-    ok &= (na - need >= lacks_b) & (nb - need >= lacks_a) & (np.minimum(na, nb) >= need)
-    ok &= (a["comp"][:, None] != b["comp"][None, :]) & (a["key"][:, None] != b["key"][None, :])
+    ok = (np.minimum(na, nb) >= need) & (a["i"][far][:, None] <= na - need) & (b["i"][None, :] <= nb - need)
+    ok &= a["comp"][far][:, None] != b["comp"][None, :]
     x, y = np.nonzero(ok)
-    if not len(x):
-        return []
+    x = far[x]
     order = np.lexsort((b["key"][y], b["comp"][y], x))
     x, y = x[order], y[order]
-    fresh = np.concatenate([[True], (x[1:] != x[:-1]) | (b["comp"][y[1:]] != b["comp"][y[:-1]])])
-    start = np.maximum.accumulate(np.where(fresh, np.arange(len(x)), 0))
-    nth = np.arange(len(x)) - start
+    fresh = np.ones(len(x), bool)
+    fresh[1:] = (x[1:] != x[:-1]) | (b["comp"][y[1:]] != b["comp"][y[:-1]])
+    nth = np.arange(len(x)) - np.maximum.accumulate(np.where(fresh, np.arange(len(x)), 0)) if len(x) else x
+    more = np.zeros(len(x), bool)
+    more[:-1] = (nth[:-1] == most - 1) & ~fresh[1:]
     keep = nth < most
-    cut = np.zeros(len(x), bool)
-    cut[:-1] = (nth[:-1] == most - 1) & ~fresh[1:]
-    return [(int(a["key"][i]), int(b["key"][j]), bool(c)) for i, j, c in zip(x[keep], y[keep], cut[keep], strict=True)]
+    x, y = x[keep], y[keep]
+    return a["key"][x], b["key"][y], a["comp"][x], b["comp"][y], more[keep]
 
 
-def _meetings(percent: int, most: int):
-    def side(r, s: str, some=None) -> dict:
-        at = np.arange(len(getattr(r, f"key_{s}"))) if some is None else np.flatnonzero(np.asarray(some))
-        p1 = getattr(r, f"p1_{s}")
-        return {c: np.asarray(getattr(r, f"{c}_{s}"))[at] for c in ("key", "comp", "n")} | {"p1": [np.asarray(p1[i]) for i in at]}
+#: What a member of a block has.
+MEMBER = ("key", "comp", "n", "i", "far")
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _meetings(percent: int, most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [t for r in batch.itertuples() for t in meet(r.token, side(r, "a", r.far_a), side(r, "b"), percent, most)]
-            yield pd.DataFrame(rows, columns=["x", "y", "more"])
+            for r in range(batch.num_rows):
+                a, b = ({c: batch.column(f"{c}_{s}")[r].values.to_numpy(zero_copy_only=False) for c in MEMBER} for s in "ab")
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in meet(a, b, percent, most)], ["x", "y", "cx", "cy", "more"])
 
     return run
 
 
+def _pair(x: str | Column, y: str | Column) -> tuple[Column, Column]:
+    return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
+
+
 class _Join:
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int):
-        self.width, self.percent = width, percent
-        self.rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-        told = materialise(self.rows.mapInPandas(_profile(width), "id bigint, key bigint, n bigint, bucket bigint, count bigint"), "ngram-profile")
-        self.docs = told.where("bucket is null").select("id", "key", "n")
+        self.width, self.percent, self.spark = width, percent, docs.sparkSession
+        self.rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("at", F.xxhash64("id", "text"))
+        told = materialise(self.rows.mapInArrow(_profile(width), "id bigint, at bigint, key bigint, n bigint, bucket bigint, count bigint"), "ngram-profile")
+        self.docs = told.where("bucket is null").select("id", "at", "key", "n")
         counts = np.zeros(1 << COUNT_BITS)
         for r in told.where("bucket is not null").groupBy("bucket").agg(F.sum("count").alias("c")).collect():  # at most 2 ** COUNT_BITS rows
             counts[r.bucket] = r.c
-        self.spark = docs.sparkSession
-        shared = self.spark.sparkContext.broadcast(frequency_classes(counts))
-        every = self.rows.select("text").mapInPandas(_prefixes(width, percent, shared), "key bigint, n bigint, p1 array<bigint>, p2 array<int>, p3 array<int>")
+        classes, none = frequency_classes(counts), np.zeros(0, np.uint64)
+        shared = self.spark.sparkContext.broadcast((classes, none))
+        often = self.rows.select("text").mapInArrow(_often(width, percent, shared), "shingle bigint").groupBy("shingle").agg(F.count(F.lit(1)).alias("m"))
+        # at most MOST_HEAVY numbers
+        heavy = often.where(F.col("m") > HEAVY).orderBy(F.desc("m"), "shingle").limit(MOST_HEAVY).select("shingle").toArrow()["shingle"].to_numpy()
+        self.shared = self.spark.sparkContext.broadcast((classes, np.sort(heavy.astype(np.uint64))))
+        every = self.rows.select("text").mapInArrow(_prefixes(width, percent, self.shared), "key bigint, n bigint, p array<bigint>")
         self.prefixes = materialise(every.dropDuplicates(["key"]), "ngram-prefixes")
-        self.first = self.docs.where("n > 0").groupBy("key").agg(F.min("id").alias("id"))
+        #: Of each set: the row that stays of those that have it; null ids come last.
+        self.first = self.docs.where("n > 0").groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "at")).alias("best"))
         self.sets: DataFrame | None = None
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """(a, b, linked) of the pairs that share prefix shingles under the other orders too. pairs: distinct (a, b), a < b."""
-        side = lambda s: self.prefixes.select(F.col("key").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "p2", "p3")])
-        need = F.ceil(F.lit(self.percent) * (F.col("n_a") + F.col("n_b")) / (100 + self.percent))
-        kept = pairs.join(side("a"), "a").join(side("b"), "b").where((F.least("n_a", "n_b") >= need) & F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b"))
-        kept = materialise(kept.select("a", "b", "n_a", "n_b"), "ngram-candidates")
-        asked = kept.select(F.col("a").alias("key")).union(kept.select("b")).distinct()
+        asked = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
         if self.sets is not None:
             asked = asked.join(self.sets, "key", "left_anti")
-        asked = materialise(asked.join(self.first, "key"), "ngram-asked")
+        asked = materialise(asked.join(self.first, "key").select("key", "best.at"), "ngram-asked")
         # few ids are sent to the texts; many meet them in a shuffle
         asked = F.broadcast(asked) if asked.count() <= SENT else asked
-        got = self.rows.join(asked, "id").select("key", "text").mapInPandas(_whole(self.width), "key bigint, s array<bigint>")
+        got = self.rows.join(asked, "at").select("key", "text").mapInArrow(_whole(self.width, self.percent, self.shared), "key bigint, n bigint, p2 array<int>, p3 array<int>, s array<bigint>")
         got = materialise(got.dropDuplicates(["key"]), "ngram-sets")
         self.sets = got if self.sets is None else self.sets.unionByName(got)
-        both = kept.join(self.sets.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a").join(self.sets.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b")
-        same = F.size(F.array_intersect("sa", "sb"))
+        side = lambda s, *some: self.sets.select(F.col("key").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in some])
+        kept = pairs.join(side("a", "p2", "p3"), "a").join(side("b", "p2", "p3"), "b").where(F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b"))
+        kept = materialise(kept.select("a", "b"), "ngram-candidates")
+        both = kept.join(side("a", "n", "s"), "a").join(side("b", "n", "s"), "b")
+        same = F.size(F.array_intersect("s_a", "s_b"))
         return materialise(both.select("a", "b", (same * 100 >= self.percent * (F.col("n_a") + F.col("n_b") - same)).alias("linked")), "ngram-verified")
 
-    def links(self) -> DataFrame:
-        """Links (a, b) between keys: enough of them to have the components of all."""
-        postings = self.prefixes.select("key", "n", F.posexplode("p1").alias("i", "token"))
-        slots = [F.min(F.when(F.pmod("key", F.lit(HUBS)) == j, F.struct("key", "n", "i"))).alias(f"h{j}") for j in range(HUBS)]
-        buckets = postings.groupBy("token").agg(F.count(F.lit(1)).alias("m"), *slots).where("m > 1")
-        buckets = materialise(buckets, "ngram-buckets")
-        members = materialise(postings.join(buckets.select("token", "m"), "token"), "ngram-members")
-        hubs = members.join(buckets.drop("m"), "token").select("key", "n", "i", F.explode(F.array(*[F.col(f"h{j}") for j in range(HUBS)])).alias("hub")).where("hub is not null and hub.key <> key")
-        hubs = hubs.where(self.could("n", "i", "hub.n", "hub.i")).select("key", F.col("hub.key").alias("hub"))
-        order = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-        done = self.verified(hubs.select(*order("key", "hub")).distinct())
-        links = done.where("linked").select("a", "b")
-        # buckets of two are settled: one of the two is the other's hub
-        open_ = self.mixed(members.where(f"m > 2 and m <= {SMALL}").select("token", "key", "n", "i", "m"), links)
-        one, two = (open_.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("key", "comp", "n", "i")]) for s in "ab")
-        pairs = one.join(two, "token").where((F.col("key_a") < F.col("key_b")) & (F.col("comp_a") != F.col("comp_b")) & self.could("n_a", "i_a", "n_b", "i_b"))
-        fresh = pairs.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
-        new = self.verified(fresh)
-        done, links = done.unionByName(new), links.unionByName(new.where("linked").select("a", "b"))
-        large = materialise(members.where(f"m > {SMALL}").select("token", "key", "m"), "ngram-large")
-        most = 4
-        while not large.isEmpty():
-            rows = self.mixed(large, links).join(self.prefixes.select("key", "n", "p1"), "key")
-            rows = rows.withColumn("part", F.pmod(F.xxhash64("key"), F.ceil(F.col("m") / BLOCK)).cast("int"))
-            blocks = rows.groupBy("token", "part").agg(F.collect_list(F.struct("key", "comp", "n", "p1", "far")).alias("b"))
-            blocks = materialise(blocks.withColumn("any", F.exists("b", lambda x: x["far"])), "ngram-blocks")
-            told = lambda s: [F.col(f"b.{c}").alias(f"{c}_{s}") for c in ("key", "comp", "n", "p1", "far")]
-            met = blocks.where("any").select("token", *told("a")).join(blocks.select("token", *told("b")), "token")
-            found = materialise(met.mapInPandas(_meetings(self.percent, most), "x bigint, y bigint, more boolean"), "ngram-met")
-            fresh = found.select(*order("x", "y")).distinct().join(done, ["a", "b"], "left_anti")
+    def components(self) -> DataFrame:
+        """(node, component) of the keys that link."""
+        postings = self.prefixes.select("key", "n", F.posexplode("p").alias("i", "token"))
+        shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+        members = materialise(postings.join(shared, "token").select("token", "m", "key", "n", "i"), "ngram-members")
+        one, two = (members.where(f"m <= {SMALL}").select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("key", "n", "i")]) for s in "ab")
+        pairs = one.join(two, "token").where((F.col("key_a") < F.col("key_b")) & self.could("n_a", "i_a", "n_b", "i_b")).select(*_pair("key_a", "key_b"))
+        large = members.where(f"m > {SMALL}")
+        slots = [F.min(F.when(F.pmod("key", F.lit(HUBS)) == j, F.struct("key", "n", "i"))) for j in range(HUBS)]
+        hubs = large.groupBy("token").agg(F.array_compact(F.array(*slots)).alias("hubs"))
+        hubs = large.join(hubs, "token").select("key", "n", "i", F.explode("hubs").alias("hub")).where(F.col("hub.key") != F.col("key"))
+        pairs = pairs.union(hubs.where(self.could("n", "i", "hub.n", "hub.i")).select(*_pair("key", "hub.key")))
+        done = self.verified(materialise(pairs.distinct(), "ngram-pairs"))
+        parts, most = components(done.where("linked")), 4
+        while True:
+            found = self.met(large, parts, most)
+            fresh = materialise(found.select(*_pair("x", "y")).distinct().join(done.select("a", "b"), ["a", "b"], "left_anti"), "ngram-pairs")
+            if fresh.isEmpty() and found.where("more").isEmpty():
+                return parts
             new = self.verified(fresh)
-            done, links = done.unionByName(new), links.unionByName(new.where("linked").select("a", "b"))
+            joined = found.select(*_pair("x", "y"), "cx", "cy").join(new.where("linked").select("a", "b"), ["a", "b"]).select(F.col("cx").alias("a"), F.col("cy").alias("b"))
+            parts = materialise(extended(parts, components(joined)), "ngram-parts")
+            done = done.unionByName(new)
             if found.where("more").isEmpty():
-                break
+                return parts
             most *= 4
-        return links
 
-    def could(self, na: str, ia: str, nb: str, ib: str):
+    def met(self, large: DataFrame, parts: DataFrame, most: int) -> DataFrame:
+        """Candidates (x, y, their components, more) between different components in the buckets of `large`."""
+        where = large.join(parts.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("component", "key"))
+        where = materialise(where.select("token", "m", "key", "n", "i", "comp"), "ngram-open")
+        per = where.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
+        several = per.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+        # far: not of the bucket's largest component
+        rows = where.join(several.select("token", F.col("main.comp").alias("main")), "token").withColumn("far", F.col("comp") != F.col("main"))
+        rows = rows.withColumn("parts", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+        blocks = rows.groupBy("token", "parts", "part").agg(F.collect_list(F.struct(*MEMBER)).alias("b"))
+        blocks = materialise(blocks.withColumn("any", F.exists("b", lambda x: x["far"])), "ngram-blocks")
+        told = lambda s: [F.col(f"b.{c}").alias(f"{c}_{s}") for c in MEMBER]
+        # a block with far members is sent to each block of its bucket: the join's keys are blocks, so a hot bucket spreads
+        one = blocks.where("any").select("token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *told("a"))
+        met = one.join(blocks.select("token", "part", *told("b")), ["token", "part"]).drop("token", "part")
+        return materialise(met.mapInArrow(_meetings(self.percent, most), "x bigint, y bigint, cx bigint, cy bigint, more boolean"), "ngram-met")
+
+    def could(self, na: str, ia: str, nb: str, ib: str) -> Column:
         """Whether two sets with these sizes could be similar if the shingle at these places of their prefixes is the
         first that they have in common: those before it are lacking in the other set."""
         na, ia, nb, ib = map(F.col, (na, ia, nb, ib))
         need = F.ceil(F.lit(self.percent) * (na + nb) / (100 + self.percent))
         return (F.least(na, nb) >= need) & (ia <= na - need) & (ib <= nb - need)
 
-    def mixed(self, rows: DataFrame, links: DataFrame) -> DataFrame:
-        """rows with comp, the component of their key by the links so far, and far: not of the bucket's largest
-        component; only of buckets with several components."""
-        at = components(links).select(F.col("node").alias("key"), "component")
-        where = materialise(rows.join(at, "key", "left").withColumn("comp", F.coalesce("component", "key")).drop("component"), "ngram-open")
-        per = where.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
-        several = per.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-        return where.join(several.select("token", F.col("main.comp").alias("main")), "token").withColumn("far", F.col("comp") != F.col("main")).drop("main")
+    def told(self) -> DataFrame:
+        """(id, at, n, best) of each document: the row that stays of its component."""
+        parts = self.components()
+        first = self.first.join(parts.withColumnRenamed("node", "key"), "key", "left").select("key", "best", F.coalesce("component", "key").alias("component"))
+        least = first.groupBy("component").agg(F.min("best").alias("best"))
+        known = first.select("key", "component").join(least, "component").select("key", "best")
+        return self.docs.join(known, "key", "left").select("id", "at", "n", F.coalesce("best", F.struct(F.col("id").isNull().alias("last"), "id", "at")).alias("best"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -278,16 +321,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     words, or the whole sequence of a shorter text. Null, empty and blank texts have no set (n_shingles 0),
     link with nothing and are their own component. Two documents link when 100 * intersection >=
     percent * union. Components span all links; component_id is the smallest id reachable. Rows that repeat
-    an id are compared each by its text and get the component of that text. Whole texts are read.
+    an id are compared each by its text and get the component of that text. Rows without an id are compared like others;
+    component_id is null only in a component of such rows. Of an empty table nothing comes. Whole texts are read.
     Shingles are compared by 64-bit hashes."""
-    join = _Join(docs, id_col, text_col, width, percent)
-    parts = components(join.links())
-    least = parts.join(join.first.withColumnRenamed("key", "node"), "node").groupBy("component").agg(F.min("id").alias("component_id"))
-    known = join.first.join(parts.withColumnRenamed("node", "key"), "key", "left").join(least, "component", "left").select("key", F.coalesce("component_id", "id").alias("component_id"))
-    told = join.docs.join(known, "key", "left")
-    return told.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    told = _Join(docs, id_col, text_col, width, percent).told()
+    return told.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("best.id").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """jaccard_components with kept: the document with the smallest id of each component stays."""
-    return jaccard_components(docs, id_col, text_col, width, percent).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+    """jaccard_components with row, the hash of id and text, and kept: of each component the row with the smallest id
+    stays, null ids after others, and of several such rows the one with the least hash; rows that are equal in id and text
+    stay or go together. Documents without words are each a component, so they stay."""
+    told = _Join(docs, id_col, text_col, width, percent).told()
+    kept = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("at") == F.col("best.at"))
+    return told.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("best.id").alias("component_id"), F.col("at").alias("row"), kept.alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs that near_duplicates keeps, with all their columns."""
+    gone = materialise(near_duplicates(docs, id_col, text_col, width, percent).where("not kept").select(F.col(id_col).alias("gone_id"), F.col("row").alias("gone_row")), "near-gone")
+    row = F.xxhash64(docs[id_col].cast("long"), docs[text_col])
+    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["gone_id"]) & (row == gone["gone_row"]), "left_anti")

@@ -56,10 +56,12 @@ def components_of(ids, links):
     return {i: find(i) for i in ids}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("share", [graph.SHARE, 0, 60])
+def test_components(spark, monkeypatch, share):
+    monkeypatch.setattr(graph, "SHARE", share)
     n = 400
-    links = [(i, i + 1) for i in range(0, 90)] + [(random.randrange(100, n), random.randrange(100, n)) for _ in range(150)] + [(99, 99)]
-    want = components_of(range(n), links)
+    links = [(i, i + 1) for i in range(0, 90)] + [(random.randrange(100, n), random.randrange(100, n)) for _ in range(150)] + [(99, 99), (5, None)]
+    want = components_of(range(n), [x for x in links if None not in x])
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert all(got.get(i, i) == want[i] for i in range(n))
     assert graph.components(spark.createDataFrame([], "a bigint, b bigint")).isEmpty()
@@ -322,19 +324,33 @@ def brute_links(rows, width, percent):
     return {i: len(s) for i, s in sets.items()}, components_of(sets, links)
 
 
-@pytest.mark.parametrize(("width", "percent", "small"), [(3, 90, 64), (5, 80, 3), (3, 90, 3)])
-def test_jaccard(spark, odd, nothing, monkeypatch, width, percent, small):
-    monkeypatch.setattr(jaccard_join, "SMALL", small)
-    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
-    base = some_words(150)
+@pytest.mark.parametrize(("width", "percent", "small", "heavy", "sent"), [(3, 90, 64, 64, 10**6), (5, 80, 3, 8, 10**6), (3, 90, 3, 2, 0)])
+def test_jaccard(spark, odd, nothing, monkeypatch, width, percent, small, heavy, sent):
+    for name, value in (("SMALL", small), ("BLOCK", 16), ("HEAVY", heavy), ("SENT", sent), ("PASSED", 8)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    base, quoted = some_words(150), some_words(60)
     rows = [(100 + i, edited(base, random.randint(0, 9))) for i in range(60)] + [(200 + i, some_words(random.randint(1, 12))) for i in range(20)] + [r for r in ODD if r[0] != 10]
-    rows += [(300, base.upper()), (301, base)]
+    rows += [(300, base.upper()), (301, base)] + [(400 + i, some_words(random.randint(5, 60)) + " " + quoted) for i in range(40)]
     got = jaccard_join.jaccard_components(spark.createDataFrame([(*r, 1) for r in rows], "doc_id bigint, text string, token int"), width=width, percent=percent).toPandas().set_index("doc_id")
     n, want = brute_links(rows, width, percent)
     assert got.n_shingles.to_dict() == n and got.component_id.to_dict() == want
     assert jaccard_join.jaccard_components(nothing).isEmpty()
 
 
+def test_near_duplicates_of_odd_rows(spark, nothing):
+    """Null ids, repeated ids and columns with the names of columns made inside; one row of each group stays."""
+    base, other = some_words(150), some_words(150)
+    rows = [(None, base), (7, edited(base, 1)), (None, edited(other, 1)), (None, other), (None, edited(other, 1)), (8, TALE), (8, edited(TALE, 1)), (9, None), (9, None), (None, ""), (2**60 + 1, some_words(40))]
+    docs = spark.createDataFrame([(*r, "x", 1, 2) for r in rows], "doc_id bigint, text string, gone_id string, row int, at int")
+    told = jaccard_join.jaccard_components(docs).collect()
+    assert sorted((r.component_id for r in told), key=str) == sorted([7, 7, None, None, None, 8, 8, 9, 9, None, 2**60 + 1], key=str)
+    stay = jaccard_join.without_near_duplicates(docs)
+    assert stay.columns == docs.columns
+    left = sorted((str(r.doc_id), r.text or "") for r in stay.collect())
+    assert len(left) == 7 and [i for i, _ in left].count("8") == 1 and [i for i, _ in left].count("9") == 2 and [i for i, _ in left].count("None") == 2 and ("7", rows[1][1]) in left
+    assert jaccard_join.without_near_duplicates(nothing).isEmpty()
+
+
 # the pipeline
 
 
