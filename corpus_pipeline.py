@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from parley.llm import bpe, language
 from parley.llm.common import materialise
 from parley.llm.exact_dedup import without_copies
-from parley.llm.jaccard_join import near_duplicates
+from parley.llm.jaccard_join import without_near_duplicates
 from parley.llm.mixing import mix
 
 
@@ -29,9 +29,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each component of documents with a Jaccard similarity of at least 0.8 over
-    runs of five words; documents without words are each their own component."""
-    gone = near_duplicates(docs, width=5, percent=80).where(~F.col("kept")).select("doc_id")
-    return docs.join(materialise(gone, "near-gone"), "doc_id", "left_anti")
+    runs of five words; documents without words are each their own component, so they stay. Null ids come after
+    others; rows that are equal in id and text stay or go together."""
+    return without_near_duplicates(docs, width=5, percent=80)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
