@@ -6,12 +6,13 @@ import re
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 
 from parley.llm import bpe, exact_dedup, graph, html_text, jaccard_join, language, mixing, near_vectors, passages, quality, secrets, wordhash
 
 SF = "/root/testdata/sf0.001"
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 random.seed(5)
 WORDS = ["w%d" % i for i in range(3000)]
 TALE = " ".join(random.choice(WORDS) for _ in range(120))
@@ -281,21 +282,31 @@ def test_repeated_runs():
 # 8
 
 
-def test_bpe(spark, odd, nothing):
+def test_bpe(spark, odd, nothing, monkeypatch):
     from tokenizers import Tokenizer
 
-    library, encoder = Tokenizer.from_file(VOCABULARY), bpe.Encoder(bpe.load(VOCABULARY))
-    for _ in range(400):
-        text = "".join(random.choice(random.choice(["ab", "etaoin shr", "=-_*#", "0123456789", "éèñ漢😀", "\n\t  ", "'sdtre"])) for _ in range(random.randint(0, 50)))
-        assert encoder.encode(text) == library.encode(text, add_special_tokens=False).ids, text
-    for text in ("<|endoftext|>hi<|endoftext|>", "a" * 3000, "ab" * 2000):
-        assert encoder.encode(text) == library.encode(text, add_special_tokens=False).ids
+    library, automaton = Tokenizer.from_file(VOCABULARY), bpe.load(VOCABULARY)
+    monkeypatch.setattr(bpe, "REMEMBER", 200)  # so that words are forgotten and met again
+    monkeypatch.setattr(bpe, "WALKED", 7)
+    encoder = bpe.Encoder(automaton)
+    made = ["".join(random.choice(random.choice(["ab", "etaoin shr", "=-_*#", "0123456789", "éèñ漢😀", "\n\t  ", "'sdtre", " \x1c\x85\xa0\u200a\u200b\x00"])) for _ in range(random.randint(0, 50))) for _ in range(600)]
+    made += ["<|endoftext|>hi<|endoftext|> <|endoftext|>", "a" * 3000, "ab" * 2000, "x" * 63 + " " + "y" * 64 + " " + "z" * 65]
+    for first in range(0, len(made), 40):
+        texts = made[first : first + 40]
+        for text, got in zip(texts, encoder.encoded(texts), strict=True):
+            assert [int(i) for i in got.split(",") if i] == library.encode(text, add_special_tokens=False).ids, text
+            assert encoder.decoded(got) == text == automaton.decode([int(i) for i in got.split(",") if i])
+    tokens = sorted(automaton.born)
+    u, v = (np.array(random.choices(tokens, k=3000)) for _ in range(2))
+    assert automaton.arcs(u, v).tolist() == automaton.arcs(u, v).tolist() == [automaton.arc(a, b, automaton.always) for a, b in zip(u.tolist(), v.tolist(), strict=True)]
     rows = {r.doc_id: r for r in bpe.encode(odd, VOCABULARY, ids=True).collect()}
     for i, t in ODD:
         ids = library.encode(t or "", add_special_tokens=False).ids
         assert rows[i].ids == ids and rows[i].n_tokens == len(ids) and rows[i].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert rows[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
     assert bpe.encode(nothing, VOCABULARY).isEmpty()
+    again = bpe.encode(spark.createDataFrame([(None, "one"), (4, "one"), (4, "one")], "doc_id bigint, text string"), VOCABULARY).collect()
+    assert sorted(str(r.doc_id) for r in again) == ["4", "4", "None"] and len({r.ids_sha256 for r in again}) == 1
 
 
 # 9
