@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,26 +28,35 @@ from .wordhash import shingles, texts_words
 
 #: Tokens of a repeated run (a power of 2), distinct pages that must share it, pages of a group.
 RUN, PAGES, GROUP = 8, 3, 128
+#: What stands between the blocks of a text.
+JOIN = "\n\n"
 #: Hosts of more than GROUP pages whose counts are broadcast; if there are more, Spark joins them in its own way.
 LARGE_HOSTS = 100_000
 
 # fixed values of HTML
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template svg iframe object canvas math select".split())
+RAW = frozenset("script style textarea title noscript template svg iframe object canvas select".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody tfoot thead tr ul".split()
 )
 SKIP = frozenset("head nav footer aside form button dialog menu".split())
 ARTICLE = frozenset("article main".split())
-#: Words in class, id or role that mark what isn't the article.
+#: Words that mark what isn't the article where they begin or end a class name, id or role.
 MARKS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored banner promo promotion cookie cookies consent gdpr notice popup modal overlay menu nav navbar navigation breadcrumb breadcrumbs sidebar aside widget footer masthead topbar comment comments reply replies respond disqus share sharing social related recommended newsletter subscribe subscription signup login search form pagination pager complementary contentinfo hidden".split()
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored banner promo cookie cookies consent gdpr notice popup modal menu nav navbar navigation breadcrumb breadcrumbs sidebar aside footer masthead topbar comment comments disqus newsletter pagination pager complementary contentinfo widget".split()
 )
+#: Words that do so alone, or before one of the words in PARTS.
+WEAK = frozenset("search form login signup subscribe subscription share sharing social related recommended reply replies respond overlay promotion".split())
+PARTS = frozenset("area articles bar block box buttons container form icons items links list panel posts section stories widget wrapper".split())
+#: Words that say that a name is about something else: a state, an absence, a behaviour.
+STATES = frozenset("no not non without with has is hide show free enabled disabled open closed".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S)
-_MARK = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?until)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
-_WORD = re.compile(r"[a-z]+")
+_NAME = re.compile(r"[A-Za-z][^\s/>]*")
+#: The rest of a tag up to its end; quoted values may hold one. Possessive, so that it never goes back.
+_ATTRS = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*+""")
+_ATTR = re.compile(r"""([^\s"'/=]++)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"']++)))?""")
+_NONE = re.compile(r"display\s*:\s*none", re.I)
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 @dataclass
@@ -56,24 +66,81 @@ class Block:
     skipped: bool  # a menu, advert or the like
 
 
-def _marked(attrs: str) -> bool:
-    if "=" not in attrs and "hidden" not in attrs.lower():
+def marks(name: str) -> bool:
+    """Whether a class name, id or role marks what isn't the article: site-footer and cookieBanner do, no-sidebar,
+    overflow-hidden and search-results don't."""
+    words = [w.lower() for w in _WORD.findall(name)]
+    if not words or not STATES.isdisjoint(words):
         return False
-    if _HIDDEN.search(attrs):
+    if words[0] in MARKS or words[-1] in MARKS:
         return True
-    for m in _MARK.finditer(attrs):
-        words = _WORD.findall((m[1] or m[2] or m[3] or "").lower())
-        if not MARKS.isdisjoint(words):
+    return words[0] in WEAK and (len(words) == 1 or words[1] in PARTS)
+
+
+def _marked(attrs: str) -> bool:
+    for m in _ATTR.finditer(attrs):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name in ("class", "id", "role"):
+            if any(map(marks, value.split())):
+                return True
+        elif name == "hidden" and value.lower() != "until-found" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _NONE.search(value):
             return True
     return False
 
 
+def _tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(begin, end, name, whether it is an end tag, attributes) of the tags, in order; comments, declarations and what
+    scripts and the like hold have no name. Each character is looked at a bounded number of times."""
+    at, n, spent, closes = 0, len(page), 0, True
+    while (begin := page.find("<", at)) >= 0:
+        if page.startswith("<!--", begin):
+            end = page.find("-->", begin + 4)
+            at = n if end < 0 else end + 3
+            yield begin, at, "", False, ""
+            continue
+        if page.startswith("<![CDATA[", begin) and closes:
+            end = page.find("]]>", begin)
+            if end >= 0:
+                at = end + 3
+                yield begin, at, "", False, ""
+                continue
+            closes = False
+        last = page.startswith("</", begin)
+        name = _NAME.match(page, begin + 1 + last)
+        if name is None and not page.startswith(("<!", "<?", "</"), begin):
+            at = begin + 1
+            continue
+        plain = page.find(">", begin)
+        if plain < 0:
+            return
+        if name is None:
+            at = plain + 1
+            yield begin, at, "", False, ""
+            continue
+        end = plain
+        # quotes that never close would be looked at again for each tag: that may cost a few times the page
+        if spent <= 4 * n:
+            whole = _ATTRS.match(page, name.end()).end()
+            if whole < n and page[whole] == ">":
+                end = whole
+            else:
+                spent += whole - begin
+        at = max(end + 1, name.end())
+        found, attrs = name[0].lower(), page[name.end() : end]
+        if found in RAW and not last and not attrs.endswith("/"):
+            close = re.compile(rf"</{re.escape(found)}\s*>", re.I).search(page, at)
+            at, found = close.end() if close else n, ""
+        yield begin, at, found, last, attrs
+
+
 def blocks(page: str | None) -> list[Block]:
     """Blocks with text, in page order. Broken markup never fails: an end tag that closes nothing is
-    ignored, one that closes an outer element closes the inner ones, and what stays open ends with the page."""
+    ignored, one that closes an outer element closes the inner ones, and what stays open ends with the page.
+    Time grows with the length of the page, whatever its markup."""
     page = page or ""
     out: list[Block] = []
     stack: list[tuple[str, bool, bool]] = []  # name, inside, skipped
+    opened: Counter[str] = Counter()  # names on the stack
     inside = skipped = False
     text: list[str] = []
     at = 0
@@ -85,51 +152,47 @@ def blocks(page: str | None) -> list[Block]:
                 out.append(Block(" ".join(words), inside, skipped))
             text.clear()
 
-    while True:
-        m = _TAG.search(page, at)
-        if m is None:
-            text.append(page[at:])
-            break
-        if m.start() > at:
-            text.append(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
+    def close(k: int) -> None:
+        nonlocal inside, skipped
+        for x in stack[k:]:
+            opened[x[0]] -= 1
+        del stack[k:]
+        inside, skipped = stack[-1][1:] if stack else (False, False)
+
+    for begin, end, name, last, attrs in _tags(page):
+        text.append(page[at:begin])
+        at = end
         if not name:
             continue
         if name in ("br", "td", "th"):
             text.append(" ")
         if name in VOID and name != "hr":
             continue
-        if m[1] or m[4]:  # an end tag
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    if any(x[0] in BLOCK for x in stack[k:]):
-                        flush()
-                    del stack[k:]
-                    inside, skipped = stack[-1][1:] if stack else (False, False)
-                    break
-            continue
-        attrs = m[3] or m[6] or ""
-        if name in RAW and not attrs.endswith("/"):
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+        if last:
+            if opened[name]:
+                k = len(stack) - 1
+                while stack[k][0] != name:
+                    k -= 1
+                if any(x[0] in BLOCK for x in stack[k:]):
+                    flush()
+                close(k)
             continue
         if name in BLOCK:
             flush()
             if name == "hr":
                 continue
-            if name == "p" or name in ("li", "tr", "dt", "dd", "option"):  # they end their like implicitly
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
-                        break
-                    if stack[k][0] in BLOCK:
-                        break
-                inside, skipped = stack[-1][1:] if stack else (False, False)
-        skips = skipped or name in SKIP or (name == "header" and not inside) or (name not in ("html", "body") and _marked(attrs))
+            if name in ("p", "li", "tr", "dt", "dd", "option") and opened[name]:  # they end their like implicitly
+                k = len(stack) - 1
+                while stack[k][0] != name and stack[k][0] not in BLOCK:
+                    k -= 1
+                if stack[k][0] == name:
+                    close(k)
+        skips = skipped or name in SKIP or (name == "header" and not inside) or (name not in ("html", "body") and bool(attrs) and _marked(attrs))
         holds = inside or (not skips and (name in ARTICLE or "articleBody" in attrs or 'role="main"' in attrs))
         stack.append((name, holds, skips))
+        opened[name] += 1
         inside, skipped = holds, skips
+    text.append(page[at:])
     flush()
     return out
 
@@ -213,7 +276,7 @@ def main_texts(parsed: list[list[Block]], known: list[np.ndarray] | None = None)
     out = []
     for page, words, covered in zip(parsed, split, cover, strict=True):
         if any(b.inside for b in page):
-            out.append("\n".join(b.text for b in page if b.inside and not b.skipped))
+            out.append(JOIN.join(b.text for b in page if b.inside and not b.skipped))
             continue
         kept, at = [], 0
         for b, w in zip(page, words, strict=True):
@@ -222,7 +285,7 @@ def main_texts(parsed: list[list[Block]], known: list[np.ndarray] | None = None)
                 if left:
                     kept.append(" ".join(left))
             at += len(w)
-        out.append("\n".join(kept))
+        out.append(JOIN.join(kept))
     return out
 
 
@@ -231,7 +294,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Null or empty html, and pages with nothing but boilerplate, have the empty text. Pages without a host,
     such as those with a null url, are one group, dealt like a hot host. Pages that are equal count as
-    one page where distinct pages are asked for. Whole pages are read."""
+    one page where distinct pages are asked for; rows that repeat an id are extracted each by itself, and null ids are ids.
+    Of an empty table nothing comes; other columns are ignored. Whole pages are read."""
     host = F.coalesce(F.regexp_extract(F.lower(F.col(url_col)), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit(""))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), F.col(html_col).alias("html"))
     large = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -247,11 +248,47 @@ def test_html(spark):
     plain = "<body><div>About us and how to reach the people here</div><p>Only %s words</p></body>"
     rows = [(1, "http://a.b/1", page), (2, "http://a.b/2", None), (3, None, ""), (4, "x", "<p>"), *[(10 + i, f"http://c.d/{i}", plain % f"n{i} n{i + 9}") for i in range(4)], (20, "http://e.f/", "no < markup & none")]
     got = {r.page_id: r for r in html_text.extract(spark.createDataFrame([(*r, "h", 3) for r in rows], "page_id bigint, url string, html string, host string, n int")).collect()}
-    assert len(got) == len(rows) and got[1].text == "A & B\nOne two three\né <b>" and got[1].n_chars == len(got[1].text)
+    assert len(got) == len(rows) and got[1].text == "A & B\n\nOne two three\n\né <b>" and got[1].n_chars == len(got[1].text)
     assert got[2].text == got[3].text == got[4].text == "" and got[10].text == "n0 n9 words" and got[20].text == "no < markup & none"
     assert html_text.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).isEmpty()
 
 
+def test_html_marks():
+    text = lambda page: html_text.main_texts([html_text.blocks(page)])[0]
+    assert text('<div class="content no-sidebar"><p>kept here</p></div>') == "kept here"
+    assert text('<article><p class="overflow-hidden">a</p><section id="search-results"><p>b</p></section><p>x <math><mi>y</mi></math></p></article>') == "a\n\nb\n\nx y"
+    assert text('<article><p>a</p><div class="cookieBanner">b</div><div id="site-footer">c</div><ul class="related-posts"><li>d</ul><div class=ad-slot>e</div><div hidden>f</div><div class="share">g</div><p style="display: none">h</p></article>') == "a"
+    assert text("<article><p title='a > b'>one<p title=\"x>y\">two < three &amp; <i>four</i>five</article>") == "one\n\ntwo < three & fourfive"
+    assert text("<article>a<!-- b --><![CDATA[c]]><?php d ?>e<script>f</article>") == "ae"
+    assert text("<article><p>a</x></p></div>b<li>c<li>d</article>") == "a\n\nb\n\nc\n\nd"
+
+
+def test_html_broken_pages_take_linear_time():
+    for page in ('<a "' * 250_000, '<a "' * 250_000 + ">", "<div>" * 100_000 + "</x>" * 100_000, "<b>" * 100_000 + "<p></p>" * 100_000, "<![CDATA[" * 100_000, "<" * 10**6, "<!--" * 250_000, "<p class='" * 100_000, "</" * 500_000, "<li><b>" * 100_000):
+        began = time.process_time()
+        html_text.blocks(page)
+        assert time.process_time() - began < 5, page[:20]
+
+
+def test_html_extraction_against_brute_force(spark):
+    """Hosts of pages made of known blocks: what several pages share outside articles goes, all else stays, in order."""
+    rng, rows, want = random.Random(11), [], {}
+    for h in range(6):
+        shared = [" ".join(f"s{h}x{i}y{j}" for j in range(12)) for i in range(3)]
+        common = " ".join(f"q{h}z{j}" for j in range(20))
+        for p in range(12):
+            own = [" ".join(f"o{h}p{p}b{b}w{j}" for j in range(rng.randint(1, 15))) for b in range(rng.randint(1, 4))]
+            marked = rng.random() < 0.5
+            body = own + [common] * (marked and p % 2)
+            inner = "".join(f"<p>{x}</p>" for x in body)
+            html = f"<body><nav>m{h}</nav><div>{shared[0]}</div>" + (f"<article>{inner}</article>" if marked else f"<div>{inner}</div>") + "".join(f"<div>{x}</div>" for x in shared[1:]) + f"<footer>f{p}</footer></body>"
+            rows.append((100 * h + p, f"https://h{h}.org/{p}", html))
+            want[100 * h + p] = "\n\n".join(body)
+    rows.append((rows[0][0], *rows[0][1:]))
+    got = html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert len(got) == len(rows) and all(r.text == want[r.page_id] for r in got)
+
+
 def test_html_hot_host(spark):
     """A notice that a few pages of a section share goes, however many pages the host has."""
     notice = "<div>this notice stands on a few pages of one section only</div>"
