@@ -43,21 +43,20 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for x in batches:
         parts.append(np.stack([x.column("a").to_numpy(), x.column("b").to_numpy()]))
     nodes, roots = forest(*np.concatenate(parts, axis=1))
-    moved = nodes != roots
-    yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(roots[moved])], ["node", "root"])
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], ["node", "component"])
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component) of every node in links(a, b): component is the smallest node reachable.
+    """(node, component) of every node in links(a, b): component is the smallest node reachable. links is read several
+    times, so it should be a written table.
 
     Links are undirected; repeats, both directions and links of a node with itself are allowed. Nodes that
-    only link with themselves are not returned, nor are rows with a null end: such nodes are their own."""
-    edges = materialise(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-links")
+    only link with themselves are not returned, nor are rows with a null end: such nodes are their own. Without links
+    nothing is returned."""
+    edges = links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     maps: list[DataFrame] = []  # node to root of each round
-    while n := edges.count():
-        if n <= SHARE:
-            maps.append(materialise(edges.repartition(1).mapInArrow(_joined, "node bigint, root bigint"), "cc-parents"))
-            break
+    while (n := edges.count()) > SHARE:
+        edges = materialise(edges.distinct(), "cc-links")
         # a < b in every link, so the smallest neighbour of b that is smaller is an a
         parent = materialise(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")), "cc-parents")
         while True:
@@ -70,10 +69,12 @@ def components(links: DataFrame) -> DataFrame:
         root_a = parent.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         root_b = parent.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         moved = edges.join(root_a, "a", "left").join(root_b, "b", "left").select(F.coalesce("ra", "a").alias("x"), F.coalesce("rb", "b").alias("y"))
-        edges = materialise(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "cc-links")
-    spark = links.sparkSession
-    if not maps:
-        return spark.createDataFrame([], "node bigint, component bigint")
+        edges = materialise(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), "cc-links")
+    if n or not maps:
+        last = materialise(edges.repartition(1).mapInArrow(_joined, "node bigint, component bigint"), "cc")
+        if not maps:
+            return last
+        maps.append(last.where("node <> component").withColumnRenamed("component", "root"))
     out = maps[0].withColumnRenamed("root", "component")
     for later in maps[1:]:
         out = extended(out, later.withColumnRenamed("root", "component"))

@@ -7,13 +7,8 @@ many documents quote doesn't make them candidates. Candidates share a prefix shi
 that allow the similarity; those that don't share one under each of the others are dropped before whole sets
 are compared.
 
-Equal sets collapse first. A group of many near copies must not become all its pairs, as only components
-are asked for, and none may be lost either:
-
-1. In the bucket of each prefix shingle, members of small buckets are paired, those of others are paired with a few hubs.
-2. Members of those others that are then in different components meet in blocks of slim rows. A meeting compares sizes
-   and places, and passes on a few candidates for each member and foreign component; more are asked for, four
-   times as many each time, until a member has joined the component or no candidate remains."""
+Equal sets collapse first. Only components are asked for, so the members of a bucket are joined as in buckets.py: by
+hubs, then between what is still apart, until nothing similar is."""
 
 from __future__ import annotations
 
@@ -24,17 +19,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .buckets import Buckets
 from .common import materialise
-from .graph import components, extended
 from .wordhash import groups, mix64, shingles, texts_words
 
 #: The most ids, of 16 bytes, that are broadcast.
 SENT = 200_000
-#: Bits of the hashed counts, orders besides the first, hubs of a bucket, rows of a small bucket, rows of a block.
-COUNT_BITS, MORE_ORDERS, HUBS, SMALL, BLOCK = 15, (0x51ED270B, 0x2545F491), 4, 16, 512
+#: Bits of the hashed counts, orders besides the first, rows of a small bucket, rows of a block.
+COUNT_BITS, MORE_ORDERS, SMALL, BLOCK = 15, (0x51ED270B, 0x2545F491), 8, 512
 #: Prefixes from which on a shingle is heavy, and the most shingles, of 8 bytes, that are kept as such: the heaviest. Both
 #: only shape the order; any order gives the same result.
-HEAVY, MOST_HEAVY = 64, 1 << 18
+HEAVY, MOST_HEAVY = 32, 1 << 18
 #: Sets that a task passes on at once.
 PASSED = 256
 #: The bit of an order that is set for heavy shingles.
@@ -172,49 +167,6 @@ def _whole(width: int, percent: int, shared):
     return run
 
 
-def meet(a: dict, b: dict, percent: int, most: int) -> tuple[np.ndarray, ...]:
-    """Candidates between the far members of one block of a bucket and all of another: (x, y, component of x, of y, more).
-    `more` marks the last of a member and a foreign component of which there are more than `most`.
-
-    A pair passes if its sizes and the places of this shingle in the two prefixes allow the similarity, in case that
-    it is the first that they have in common."""
-    far = np.flatnonzero(a["far"])
-    na, nb = a["n"][far][:, None], b["n"][None, :]
-    need = -(-percent * (na + nb) // (100 + percent))
-    ok = (np.minimum(na, nb) >= need) & (a["i"][far][:, None] <= na - need) & (b["i"][None, :] <= nb - need)
-    ok &= a["comp"][far][:, None] != b["comp"][None, :]
-    x, y = np.nonzero(ok)
-    x = far[x]
-    order = np.lexsort((b["key"][y], b["comp"][y], x))
-    x, y = x[order], y[order]
-    fresh = np.ones(len(x), bool)
-    fresh[1:] = (x[1:] != x[:-1]) | (b["comp"][y[1:]] != b["comp"][y[:-1]])
-    nth = np.arange(len(x)) - np.maximum.accumulate(np.where(fresh, np.arange(len(x)), 0)) if len(x) else x
-    more = np.zeros(len(x), bool)
-    more[:-1] = (nth[:-1] == most - 1) & ~fresh[1:]
-    keep = nth < most
-    x, y = x[keep], y[keep]
-    return a["key"][x], b["key"][y], a["comp"][x], b["comp"][y], more[keep]
-
-
-#: What a member of a block has.
-MEMBER = ("key", "comp", "n", "i", "far")
-
-
-def _meetings(percent: int, most: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                a, b = ({c: batch.column(f"{c}_{s}")[r].values.to_numpy(zero_copy_only=False) for c in MEMBER} for s in "ab")
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in meet(a, b, percent, most)], ["x", "y", "cx", "cy", "more"])
-
-    return run
-
-
-def _pair(x: str | Column, y: str | Column) -> tuple[Column, Column]:
-    return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
-
-
 class _Join:
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int):
         self.width, self.percent, self.spark = width, percent, docs.sparkSession
@@ -245,12 +197,14 @@ class _Join:
         # few ids are sent to the texts; many meet them in a shuffle
         asked = F.broadcast(asked) if asked.count() <= SENT else asked
         got = self.rows.join(asked, "at").select("key", "text").mapInArrow(_whole(self.width, self.percent, self.shared), "key bigint, n bigint, p2 array<int>, p3 array<int>, s array<bigint>")
-        got = materialise(got.dropDuplicates(["key"]), "ngram-sets")
+        got = materialise(got, "ngram-sets")
+        # only rows that are equal in id and text give a set twice
+        if not got.groupBy("key").count().where("count > 1").isEmpty():
+            got = materialise(got.dropDuplicates(["key"]), "ngram-sets")
         self.sets = got if self.sets is None else self.sets.unionByName(got)
         side = lambda s, *some: self.sets.select(F.col("key").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in some])
         kept = pairs.join(side("a", "p2", "p3"), "a").join(side("b", "p2", "p3"), "b").where(F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b"))
-        kept = materialise(kept.select("a", "b"), "ngram-candidates")
-        both = kept.join(side("a", "n", "s"), "a").join(side("b", "n", "s"), "b")
+        both = kept.select("a", "b").join(side("a", "n", "s"), "a").join(side("b", "n", "s"), "b")
         same = F.size(F.array_intersect("s_a", "s_b"))
         return materialise(both.select("a", "b", (same * 100 >= self.percent * (F.col("n_a") + F.col("n_b") - same)).alias("linked")), "ngram-verified")
 
@@ -259,51 +213,18 @@ class _Join:
         postings = self.prefixes.select("key", "n", F.posexplode("p").alias("i", "token"))
         shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
         members = materialise(postings.join(shared, "token").select("token", "m", "key", "n", "i"), "ngram-members")
-        one, two = (members.where(f"m <= {SMALL}").select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("key", "n", "i")]) for s in "ab")
-        pairs = one.join(two, "token").where((F.col("key_a") < F.col("key_b")) & self.could("n_a", "i_a", "n_b", "i_b")).select(*_pair("key_a", "key_b"))
-        large = members.where(f"m > {SMALL}")
-        slots = [F.min(F.when(F.pmod("key", F.lit(HUBS)) == j, F.struct("key", "n", "i"))) for j in range(HUBS)]
-        hubs = large.groupBy("token").agg(F.array_compact(F.array(*slots)).alias("hubs"))
-        hubs = large.join(hubs, "token").select("key", "n", "i", F.explode("hubs").alias("hub")).where(F.col("hub.key") != F.col("key"))
-        pairs = pairs.union(hubs.where(self.could("n", "i", "hub.n", "hub.i")).select(*_pair("key", "hub.key")))
-        done = self.verified(materialise(pairs.distinct(), "ngram-pairs"))
-        parts, most = components(done.where("linked")), 4
-        while True:
-            found = self.met(large, parts, most)
-            fresh = materialise(found.select(*_pair("x", "y")).distinct().join(done.select("a", "b"), ["a", "b"], "left_anti"), "ngram-pairs")
-            if fresh.isEmpty() and found.where("more").isEmpty():
-                return parts
-            new = self.verified(fresh)
-            joined = found.select(*_pair("x", "y"), "cx", "cy").join(new.where("linked").select("a", "b"), ["a", "b"]).select(F.col("cx").alias("a"), F.col("cy").alias("b"))
-            parts = materialise(extended(parts, components(joined)), "ngram-parts")
-            done = done.unionByName(new)
-            if found.where("more").isEmpty():
-                return parts
-            most *= 4
-
-    def met(self, large: DataFrame, parts: DataFrame, most: int) -> DataFrame:
-        """Candidates (x, y, their components, more) between different components in the buckets of `large`."""
-        where = large.join(parts.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("component", "key"))
-        where = materialise(where.select("token", "m", "key", "n", "i", "comp"), "ngram-open")
-        per = where.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
-        several = per.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-        # far: not of the bucket's largest component
-        rows = where.join(several.select("token", F.col("main.comp").alias("main")), "token").withColumn("far", F.col("comp") != F.col("main"))
-        rows = rows.withColumn("parts", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
-        blocks = rows.groupBy("token", "parts", "part").agg(F.collect_list(F.struct(*MEMBER)).alias("b"))
-        blocks = materialise(blocks.withColumn("any", F.exists("b", lambda x: x["far"])), "ngram-blocks")
-        told = lambda s: [F.col(f"b.{c}").alias(f"{c}_{s}") for c in MEMBER]
-        # a block with far members is sent to each block of its bucket: the join's keys are blocks, so a hot bucket spreads
-        one = blocks.where("any").select("token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *told("a"))
-        met = one.join(blocks.select("token", "part", *told("b")), ["token", "part"]).drop("token", "part")
-        return materialise(met.mapInArrow(_meetings(self.percent, most), "x bigint, y bigint, cx bigint, cy bigint, more boolean"), "ngram-met")
-
-    def could(self, na: str, ia: str, nb: str, ib: str) -> Column:
-        """Whether two sets with these sizes could be similar if the shingle at these places of their prefixes is the
-        first that they have in common: those before it are lacking in the other set."""
-        na, ia, nb, ib = map(F.col, (na, ia, nb, ib))
-        need = F.ceil(F.lit(self.percent) * (na + nb) / (100 + self.percent))
-        return (F.least(na, nb) >= need) & (ia <= na - need) & (ib <= nb - need)
+        percent = self.percent
+
+        def could(x, y) -> Column:
+            need = F.ceil(F.lit(percent) * (x("n") + y("n")) / (100 + percent))
+            return (F.least(x("n"), y("n")) >= need) & (x("i") <= x("n") - need) & (y("i") <= y("n") - need)
+
+        def possible(a: dict, b: dict) -> np.ndarray:
+            """If this shingle is the first that the two have in common, those before it are lacking in the other set."""
+            need = -(-percent * (a["n"] + b["n"]) // (100 + percent))
+            return (np.minimum(a["n"], b["n"]) >= need) & (a["i"] <= a["n"] - need) & (b["i"] <= b["n"] - need)
+
+        return Buckets(members, self.verified, could, possible, ("n", "i"), SMALL, BLOCK).components()
 
     def told(self) -> DataFrame:
         """(id, at, n, best) of each document: the row that stays of its component."""

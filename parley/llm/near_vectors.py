@@ -4,7 +4,11 @@ A hash of a unit vector is the signed axis that lies nearest after a pseudo-rand
 random signs, then a fast Hadamard transform. A table joins HASHES such hashes. Every vector is stored in
 its own bucket and probes the next nearest buckets, in which one hash takes its second axis. Buckets are
 cut into blocks of at most about BLOCK rows; blocks of a bucket meet in pairs, and a pair of vectors is
-compared, by its exact cosine in double precision, inside the meeting. Equal vectors collapse first."""
+compared, by its exact cosine in double precision, inside the meeting. Equal vectors collapse first.
+
+A pair may meet in several buckets; it counts in the first of them, which both vectors' bucket lists tell. A meeting
+passes on how many links each vector has there, and only as many links as join its components, so a group of near
+copies doesn't become all its pairs."""
 
 from __future__ import annotations
 
@@ -12,12 +16,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from .common import materialise
-from .graph import components
+from .graph import components, forest
 
 TABLES, HASHES, PROBES, BLOCK = 8, 2, 2, 512
 
@@ -67,35 +71,65 @@ def bucket_keys(x: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _hash_batches(seed: int):
+    """(ck, label, dim, slots): slots has the bucket of each table, then its probes, table by table."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if not len(b):
                 continue
-            for _, part in b.groupby(b.v.map(len)):  # rows of one length can be compared
-                x = np.stack(part.v.to_numpy()).astype(np.float64)
-                keys, probes = bucket_keys(x / np.linalg.norm(x, axis=1, keepdims=True), seed)
-                every = np.concatenate([keys[:, :, None], probes], axis=2)
-                n, t, p = every.shape
-                yield pd.DataFrame({
-                    "rep": np.repeat(part.rep.to_numpy(), t * p), "label": np.repeat(part.label.to_numpy(), t * p), "dim": np.full(n * t * p, x.shape[1]),
-                    "table": np.tile(np.repeat(np.arange(t), p), n), "bucket": every.reshape(-1), "own": np.tile(np.arange(p) == 0, n * t),
-                })
+            for size, part in b.groupby(b.v.map(len)):  # rows of one length can be compared
+                keys, probes = bucket_keys(_unit(part.v), seed)
+                slots = np.concatenate([keys[:, :, None], probes], axis=2).reshape(len(part), -1)
+                yield pd.DataFrame({"ck": part.ck.to_numpy(), "label": part.label.to_numpy(), "dim": np.full(len(part), size), "slots": list(slots)})
 
     return run
 
 
+def _unit(vectors) -> np.ndarray:
+    x = np.stack(list(vectors)).astype(np.float64)
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])  # exact; squares of large or small numbers stay finite
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def first_meeting(a: np.ndarray, b: np.ndarray, table: int, bucket: int) -> np.ndarray:
+    """Whether this bucket is the first in which the vectors with slots a and b meet, pair by pair. Vectors meet in a bucket
+    if it is the own one of at least one of them."""
+    a, b = (s.reshape(len(s), TABLES, 1 + PROBES) for s in (a, b))
+    at_a, at_b = (a[:, :, :1] == b).any(axis=2), (b[:, :, :1] == a).any(axis=2)  # in a's own bucket, in b's own
+    place = np.minimum(np.where(at_a, a[:, :, 0], np.iinfo(np.int64).max), np.where(at_b, b[:, :, 0], np.iinfo(np.int64).max))
+    met = at_a | at_b
+    return (met.argmax(axis=1) == table) & (place[:, table] == bucket)
+
+
 def _meet(least: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for r in b.itertuples():
-                ia, ib = np.asarray(r.ids_a), np.asarray(r.ids_b)
-                a, c = (np.stack(v).astype(np.float64) for v in (r.vecs_a, r.vecs_b))
-                a, c = a / np.linalg.norm(a, axis=1, keepdims=True), c / np.linalg.norm(c, axis=1, keepdims=True)
-                near = a @ c.T >= least
-                near &= np.asarray(r.own_a)[:, None] | np.asarray(r.own_b)[None, :]
-                near &= (ia[:, None] < ib[None, :]) if r.same else (ia[:, None] != ib[None, :])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                at = lambda c: batch.column(c)[r]  # noqa: B023, E731
+                table, bucket, same = at("table").as_py(), at("bucket").as_py(), at("same").as_py()
+                side = {}
+                for s in "ab":
+                    n = len(at(f"ck_{s}").values)
+                    flat = lambda c: at(f"{c}_{s}").values.to_numpy(zero_copy_only=False)  # noqa: B023, E731
+                    side[s] = flat("ck"), _unit(flat("v").reshape(n, -1)), flat("slots").reshape(n, -1), flat("copies")
+                (ka, va, sa, ca), (kb, vb, sb, cb) = side["a"], side["b"]
+                near = va @ vb.T >= least
+                if same:
+                    near &= ka[:, None] < kb[None, :]
                 x, y = np.nonzero(near)
-                yield pd.DataFrame({"a": np.minimum(ia[x], ib[y]), "b": np.maximum(ia[x], ib[y])})
+                here = first_meeting(sa[x], sb[y], table, bucket)
+                x, y = x[here], y[here]
+                if not len(x):
+                    continue
+                # links of each vector here, and what joins the components
+                nodes, back = np.unique(np.concatenate([ka[x], kb[y]]), return_inverse=True)
+                many = np.bincount(back, np.concatenate([cb[y], ca[x]]), len(nodes)).astype(np.int64)
+                joined, roots = forest(ka[x], kb[y])
+                off = joined != roots
+                none = lambda n: pa.nulls(n, pa.int64())
+                yield pa.RecordBatch.from_arrays([
+                    pa.concat_arrays([pa.array(nodes), pa.array(joined[off])]), pa.concat_arrays([none(len(nodes)), pa.array(roots[off])]), pa.concat_arrays([pa.array(many), none(int(off.sum()))]),
+                ], ["a", "b", "links"])
 
     return run
 
@@ -105,36 +139,37 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
 
     Vectors link when their labels are equal and not null and their cosine, in double precision, is at least
     `least`. Null vectors, zero ones and those with null or non-finite components link with nothing, nor do
-    vectors of different lengths: n_links 0, component_id their own id, kept. Rows that repeat an id with
-    the same vector and label are separate vectors, so they link; ids should be distinct. Ids are not null."""
-    v = F.transform(F.col(vec_col), lambda x: x.cast(DoubleType()))
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), v.alias("v"))
+    vectors of different lengths: n_links 0, component_id their own id, kept. Rows that repeat an id are separate
+    vectors: they link if their label and vectors allow it. A null id never stays before another; component_id
+    is null only where all of a component are. Of an empty table nothing comes; other columns are ignored."""
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vec_col).alias("v"))
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     usable = F.col("label").isNotNull() & F.coalesce((F.size("v") > 0) & ~F.exists("v", bad) & F.exists("v", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("usable", usable)
-    good = rows.where("usable")
+    good = rows.where("usable").select("id", "label", "v", F.xxhash64("label", "v").alias("ck"))
     # equal vectors of a label are one class
-    classes = materialise(good.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "vec-classes")
-    keyed = classes.select("rep", "label", "v").mapInPandas(_hash_batches(seed), "rep bigint, label bigint, dim bigint, table int, bucket bigint, own boolean")
+    classes = materialise(good.groupBy("ck", "label", "v").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies")), "vec-classes")
+    kind = classes.schema["v"].dataType.elementType.simpleString()
+    keyed = materialise(classes.select("ck", "label", "v").mapInPandas(_hash_batches(seed), f"ck bigint, label {classes.schema['label'].dataType.simpleString()}, dim bigint, slots array<bigint>"), "vec-slots")
     place = ["label", "dim", "table", "bucket"]
-    keyed = materialise(keyed, "vec-buckets")
-    sizes = keyed.groupBy(*place).agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("any_own")).where("n > 1 and any_own")
-    dealt = keyed.join(sizes, place).withColumn("part", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK)).cast("int"))
-    dealt = dealt.join(classes.select("rep", "v"), "rep")
-    blocks = dealt.groupBy(*place, "part").agg(F.collect_list(F.struct("rep", "own", "v")).alias("m"))
-    blocks = blocks.select(F.xxhash64(*place).alias("at"), *place, "part", F.col("m.rep").alias("ids"), F.col("m.own").alias("own"), F.col("m.v").alias("vecs"))
-    blocks = materialise(blocks, "vec-blocks")
-    one = blocks.select(*(F.col(c).alias(f"{c}_a" if c not in place else c) for c in blocks.columns))
-    two = blocks.select(*(F.col(c).alias(f"{c}_b" if c not in place else c) for c in blocks.columns))
-    met = one.join(two, place).where("part_a <= part_b").withColumn("same", F.col("part_a") == F.col("part_b"))
-    # a meeting for each pair of blocks, dealt out evenly
-    met = met.select("ids_a", "own_a", "vecs_a", "ids_b", "own_b", "vecs_b", "same")
-    links = materialise(met.mapInPandas(_meet(least), "a bigint, b bigint").distinct(), "vec-links")
-    both = links.select(F.col("a").alias("rep"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("rep"), F.col("a").alias("other")))
-    copies = classes.select("rep", "copies")
-    linked = both.join(copies.select(F.col("rep").alias("other"), "copies"), "other").groupBy("rep").agg(F.sum("copies").alias("far"))
-    parts = components(links).select(F.col("node").alias("rep"), "component")
-    told = classes.join(linked, "rep", "left").join(parts, "rep", "left").select("label", "v", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("far", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    known = good.select("id", "label", "v").join(told, ["label", "v"]).select("id", "n_links", "component_id")
+    every = keyed.select("ck", "label", "dim", F.posexplode("slots").alias("i", "bucket")).select("ck", "label", "dim", "bucket", F.floor(F.col("i") / (1 + PROBES)).cast("int").alias("table"), (F.col("i") % (1 + PROBES) == 0).alias("own"))
+    sizes = every.groupBy(*place).agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("owned")).where("n > 1 and owned").drop("owned")
+    dealt = every.join(sizes, place).withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("ck"), F.col("parts")).cast("int"))
+    dealt = materialise(dealt.select("ck", *place, "parts", "part"), "vec-dealt")
+    member = classes.select("ck", "v", "copies").join(keyed.select("ck", "slots"), "ck")
+    blocks = dealt.join(member, "ck").groupBy(*place, "parts", "part").agg(F.collect_list(F.struct("ck", "v", "slots", "copies")).alias("m"))
+    # flat arrays: a block is four of them
+    blocks = materialise(blocks.select(*place, "parts", "part", F.col("m.ck").alias("ck"), F.flatten("m.v").cast(f"array<{kind}>").alias("v"), F.flatten("m.slots").alias("slots"), F.col("m.copies").alias("copies")), "vec-blocks")
+    told = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("ck", "v", "slots", "copies")]
+    # a meeting for each pair of blocks; the join's keys are blocks, so a hot bucket spreads
+    one = blocks.select(*place, F.col("part").alias("from"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("part"), *told("a"))
+    met = one.join(blocks.select(*place, "part", *told("b")), [*place, "part"]).withColumn("same", F.col("from") == F.col("part")).drop("label", "dim", "from", "part")
+    found = materialise(met.mapInArrow(_meet(least), "a bigint, b bigint, links bigint"), "vec-links")
+    linked = found.where("links is not null").groupBy(F.col("a").alias("ck")).agg(F.sum("links").alias("far"))
+    parts = components(found.where("links is null").select("a", "b")).select(F.col("node").alias("ck"), "component")
+    named = classes.join(linked, "ck", "left").join(parts, "ck", "left").select("ck", "least", (F.coalesce("far", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "ck").alias("component"))
+    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    told = named.join(smallest, "component").select("ck", "n_links", "component_id")
+    known = good.select("id", "ck").join(told, "ck").select("id", "n_links", "component_id")
     alone = rows.where(~F.col("usable")).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    return known.unionByName(alone).select(F.col("id").alias(id_col), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    return known.unionByName(alone).select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

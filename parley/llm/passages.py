@@ -5,34 +5,33 @@ paragraphs are runs of PARAGRAPH words that start at anchors: a word run of five
 among GAP neighbours. Copies of a passage of PARAGRAPH + GAP - 1 words or more have the same anchors inside
 and thus share a whole paragraph, wherever the passage stands.
 
-Equal paragraphs collapse to classes. Each class has BANDS bands of one MinHash each over its runs of five
-words; classes that collide in a band with one of its hubs are verified by their exact Jaccard similarity. The
-members of a bucket that are then still in different components meet in blocks, each with each.
-A pair at the least similarity of 0.8 is missed by both bands with odds of 1 in 25, and a passage has more than
-one paragraph. Links give components; the first paragraph of a component stays, the others are removed."""
+Equal paragraphs collapse to classes. Each class has BANDS bands of ROWS MinHashes each over its runs of five words; the
+least similarity of 0.8 or more that two paragraphs can have (25 of 31 runs) is met by a band with odds of 0.957, the next
+(26 of 30) of 0.985, and a passage has more than one paragraph. Classes that collide are verified by their exact
+Jaccard similarity and joined to components as in buckets.py, which loses no link between the members of a bucket. The
+first paragraph of a component stays, the others are removed."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
-from .graph import components
+from .buckets import Buckets
+from .common import fresh_name, materialise
 from .wordhash import BASE, groups, mix64, texts_words
 
-#: Words of a paragraph, words of a shingle, anchor distance, least similarity in percent, hubs of a band's bucket, rows of a
-#: small bucket, rows of a block.
-PARAGRAPH, WIDTH, GAP, PERCENT, HUBS, SMALL, BLOCK = 32, 5, 20, 80, 2, 16, 64
-#: The setting of the rows that reach Python at once, and its value for pairs of blocks.
-BATCH, PASSED = "spark.sql.execution.arrow.maxRecordsPerBatch", 64
-#: Shingles of a paragraph.
-RUNS = PARAGRAPH - WIDTH + 1
-SEEDS = (0x1F123BB5, 0x7A4F0C31)
-BANDS = len(SEEDS)
+#: Words of a paragraph, words of a shingle, anchor distance, least similarity in percent, rows of a small bucket.
+PARAGRAPH, WIDTH, GAP, PERCENT, SMALL = 32, 5, 20, 80, 8
+#: Bands, and the MinHashes of a band.
+BANDS, ROWS = 3, 2
+RUNS = PARAGRAPH - WIDTH + 1  # shingles of a paragraph
+SEEDS = tuple(mix64(np.arange(1, 1 + BANDS * ROWS, dtype=np.uint64)).tolist())
 
 
 def _slide(x: np.ndarray, size: int, of) -> np.ndarray:
@@ -65,85 +64,77 @@ def paragraphs(texts: list[str | None]) -> tuple[np.ndarray, ...]:
     while step < PARAGRAPH:
         whole = mix64(whole[:-step] * BASE + whole[step:])
         step *= 2
-    bands = np.stack([_slide(mix64(run ^ np.uint64(s)), PARAGRAPH - WIDTH + 1, np.minimum)[anchor] for s in SEEDS], axis=1)
+    bands = np.zeros((len(anchor), BANDS), np.uint64)
+    for k, seed in enumerate(SEEDS):
+        least = _slide(mix64(run ^ np.uint64(seed)), PARAGRAPH - WIDTH + 1, np.minimum)[anchor]
+        bands[:, k // ROWS] = mix64(bands[:, k // ROWS] * BASE + least + np.uint64(k))
     key = mix64(whole[anchor])
     once = np.unique(np.stack([doc[anchor].astype(np.uint64), key], axis=1), axis=0, return_index=True)[1] if len(anchor) else empty
     anchor, key, bands = anchor[once], key[once], bands[once]
     return doc[anchor], anchor - at[doc[anchor]], key.astype(np.int64), bands.astype(np.int64), anchor, run
 
 
-def _emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        texts, ids = b["text"].tolist(), b["id"].to_numpy()
-        for i, j in groups(texts):
-            doc, pos, key, bands, _, _ = paragraphs(texts[i:j])
-            yield pd.DataFrame({"id": ids[i:j][doc], "pos": pos, "key": key, **{f"m{k}": bands[:, k] for k in range(BANDS)}})
+def _emit(banded: bool):
+    """(id, pos, key) of the paragraphs, or (id, key, bands)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, ids = b.column("text").to_pylist(), b.column("id").to_numpy()
+            for i, j in groups(texts):
+                doc, pos, key, bands, _, _ = paragraphs(texts[i:j])
+                columns = {"id": ids[i:j][doc], "key": key} | ({f"m{k}": np.ascontiguousarray(bands[:, k]) for k in range(BANDS)} if banded else {"pos": pos})
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], list(columns))
 
+    return run
 
-def _fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The shingle sets of the paragraphs asked for: rows (text, keys)."""
     for b in batches:
-        texts, keys = b["text"].tolist(), b["keys"].tolist()
+        texts, keys = b.column("text").to_pylist(), b.column("keys").to_pylist()
         for i, j in groups(texts):
             doc, _, key, _, anchor, run = paragraphs(texts[i:j])
             asked = keys[i:j]
             of = np.repeat(np.arange(len(asked)), [len(k) for k in asked])
             tell = lambda k, d: k.astype(np.uint64) ^ mix64(d.astype(np.uint64))
             hit = np.flatnonzero(np.isin(tell(key, doc), tell(np.concatenate([np.asarray(k, np.int64) for k in asked]), of)))
-            yield pd.DataFrame({"key": key[hit], "s": [np.unique(run[a : a + PARAGRAPH - WIDTH + 1]).astype(np.uint32).astype(np.int32) for a in anchor[hit]]})
-
-
-def _grid(sets: list[np.ndarray], values: np.ndarray) -> np.ndarray:
-    """A row for each set: which of the sorted values it holds."""
-    flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    at = np.minimum(np.searchsorted(values, flat), len(values) - 1)
-    hit = values[at] == flat
-    g = np.zeros((len(sets), len(values)), np.float32)
-    g[row[hit], at[hit]] = 1
-    return g
-
-
-def meet(a: dict, b: dict) -> list[tuple[int, int]]:
-    """Links between the components of the far members of one block of a bucket and those of the members of another:
-    enough to join all that any pair of them links."""
-    far = np.flatnonzero(a["far"])
-    sets = [a["s"][i] for i in far]
-    values = np.intersect1d(np.concatenate(sets), np.concatenate(b["s"]))
-    if not len(values):
-        return []
-    same = _grid(sets, values) @ _grid(b["s"], values).T
-    size_a, size_b = np.array([len(s) for s in sets]), np.array([len(s) for s in b["s"]])
-    key, comp = a["key"][far], a["comp"][far]
-    new = (comp[:, None] != b["comp"][None, :]) & (~b["far"][None, :] | (key[:, None] < b["key"][None, :]))
-    x, y = np.nonzero(new & (same * 100 >= PERCENT * (size_a[:, None] + size_b[None, :] - same)))
-    # one link for two components, and none that others imply
-    once = np.unique(np.stack([comp[x], b["comp"][y]], axis=1), axis=0, return_index=True)[1] if len(x) else x
-    root: dict[int, int] = {}
-
-    def find(c: int) -> int:
-        while (up := root.get(c, c)) != c:
-            root[c] = root.get(up, up)
-            c = up
-        return c
-
-    out = []
-    for i, j in zip(x[once], y[once], strict=True):
-        p, q = find(int(comp[i])), find(int(b["comp"][j]))
-        if p != q:
-            root[p] = q
-            out.append((int(comp[i]), int(b["comp"][j])))
-    return out
-
+            sets = [np.unique(run[a : a + PARAGRAPH - WIDTH + 1]).astype(np.uint32).astype(np.int32) for a in anchor[hit]]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int32), *sets])))
+            yield pa.RecordBatch.from_arrays([pa.array(key[hit]), lists], ["key", "s"])
 
-def _meetings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    def side(r, s: str) -> dict:
-        size = np.asarray(getattr(r, f"size_{s}"))
-        sets = np.split(np.asarray(getattr(r, f"s_{s}")), np.cumsum(size)[:-1])
-        return {c: np.asarray(getattr(r, f"{c}_{s}")) for c in ("key", "comp", "far")} | {"s": sets}
 
-    for batch in batches:
-        rows = [link for r in batch.itertuples() for link in meet(side(r, "a"), side(r, "b"))]
-        yield pd.DataFrame(np.array(rows, np.int64).reshape(-1, 2), columns=["a", "b"])
+def paragraph_components(rows: DataFrame) -> DataFrame:
+    """(key, low, high, component) of the paragraph classes of rows (id, text): the smallest and largest id that has it, and the
+    component of those that are similar to each other or to a third one."""
+    bands = [f"m{k}" for k in range(BANDS)]
+    # the bands and the places are of two passes: both together are more to write than the texts
+    found = rows.mapInArrow(_emit(True), "id bigint, key bigint, " + ", ".join(f"{m} bigint" for m in bands))
+    classes = materialise(found.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), *[F.min(m).alias(m) for m in bands]), "paragraph-classes")
+    # the bands hash with seeds of their own, so a value is of one band
+    posted = classes.select("key", "low", "high", F.explode(F.array(*bands)).alias("token"))
+    shared = materialise(posted.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "paragraph-buckets")
+    members = materialise(posted.join(shared, "token").select("token", "m", "key", "low", "high"), "paragraph-posted")
+    # a text's own paragraphs overlap, so they collide: only buckets of several documents are compared
+    several = members.groupBy("token").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least < most").select("token")
+    members = materialise(members.join(several, "token"), "paragraph-members")
+    sets: list[DataFrame] = []
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        asked = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+        for known in sets:
+            asked = asked.join(known, "key", "left_anti")
+        asked = asked.join(classes.select("key", "low"), "key").groupBy(F.col("low").alias("id")).agg(F.collect_list("key").alias("keys"))
+        sets.append(materialise(rows.join(asked, "id").select("text", "keys").mapInArrow(_fetch, "key bigint, s array<int>").dropDuplicates(["key"]), "paragraph-sets"))
+        every = reduce(DataFrame.unionByName, sets)
+        both = pairs.join(every.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a").join(every.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b")
+        same = F.size(F.array_intersect("sa", "sb"))
+        return materialise(both.select("a", "b", (same * 100 >= PERCENT * (F.size("sa") + F.size("sb") - same)).alias("linked")), "paragraph-links")
+
+    # two paragraphs that one document alone has aren't compared
+    could = lambda x, y: ~((x("low") == x("high")) & (y("low") == y("high")) & (x("low") == y("low")))
+    possible = lambda a, b: ~((a["low"] == a["high"]) & (b["low"] == b["high"]) & (a["low"] == b["low"]))
+    parts = Buckets(members, verified, could, possible, ("low", "high"), SMALL).components()
+    return classes.join(parts.withColumnRenamed("node", "key"), "key", "left").select("key", "low", "high", F.coalesce("component", "key").alias("component"))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -154,63 +145,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     smallest id, and there of the first place and what overlaps it. Where a kept and a removed stretch of a
     document overlap, the words of both stay. Documents without such a stretch have no row; those are null,
     empty and short texts and all that repeat only inside themselves. Rows that repeat an id count as one
-    document. Words are runs of anything but ASCII white space, compared with A-Z in lower case. Whole texts are read."""
+    document; rows without an id have no row and aren't compared. Of an empty table nothing comes. Words are runs of anything
+    but ASCII white space, compared with A-Z in lower case. Whole texts are read."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull())
-    bands = [f"m{k}" for k in range(BANDS)]
-    found = rows.mapInPandas(_emit, "id bigint, pos bigint, key bigint, " + ", ".join(f"{m} bigint" for m in bands))
-    classes = found.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), *[F.min(m).alias(m) for m in bands])
-    classes = materialise(classes, "paragraph-classes")
-    # the bands hash with seeds of their own, so a value is of one band
-    posted = classes.select("key", F.explode(F.array(*bands)).alias("value"))
-    slots = [F.min(F.when(F.pmod("key", F.lit(HUBS)) == j, F.col("key"))).alias(f"h{j}") for j in range(HUBS)]
-    # a text's own paragraphs overlap, so they collide: only buckets of several documents are compared
-    ends = classes.select("key", "low", "high", F.explode(F.array(*bands)).alias("value"))
-    buckets = ends.groupBy("value").agg(F.min("low").alias("least"), F.max("high").alias("most"), F.count(F.lit(1)).alias("m"), *slots).where("least < most and m > 1").drop("least", "most")
-    members = materialise(posted.join(buckets, "value"), "paragraph-members")
-    hubs = members.select("key", F.explode(F.array(*[F.col(f"h{j}") for j in range(HUBS)])).alias("hub")).where("hub is not null and hub <> key")
-    pairs = materialise(hubs.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct(), "paragraph-pairs")
-
-    def fetched(keys: DataFrame) -> DataFrame:
-        asked = keys.join(classes.select("key", "low"), "key").groupBy(F.col("low").alias("id")).agg(F.collect_list("key").alias("keys"))
-        return materialise(rows.join(asked, "id").select("text", "keys").mapInPandas(_fetch, "key bigint, s array<int>").dropDuplicates(["key"]), "paragraph-sets")
-
-    # every member of a bucket is its hub or is paired with one
-    sets = fetched(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct())
-    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b")
-    same = F.size(F.array_intersect("sa", "sb"))
-    links = materialise(both.where(same * 100 >= PERCENT * (F.size("sa") + F.size("sb") - same)).select("a", "b"), "paragraph-links")
-    parts = components(links)
-    # in a bucket of two, one is the other's hub
-    where = members.where("m > 2").select("value", "key", "m").join(parts.withColumnRenamed("node", "key"), "key", "left").select("value", "key", "m", F.coalesce("component", "key").alias("comp"))
-    per = where.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("k"))
-    several = per.groupBy("value").agg(F.max(F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    part = F.when(F.col("m") > SMALL, F.pmod(F.xxhash64("key"), F.ceil(F.col("m") / BLOCK))).otherwise(0).cast("int").alias("part")
-    open_ = where.join(several.select("value", F.col("main.comp").alias("main")), "value").select("value", "m", "key", "comp", (F.col("comp") != F.col("main")).alias("far"), part)
-    blocks = open_.join(sets, "key").groupBy("value", "m", "part").agg(F.collect_list(F.struct("key", "comp", "far", "s")).alias("b"))
-    blocks = materialise(blocks.withColumn("any", F.exists("b", lambda x: x["far"])), "paragraph-blocks")
-    few = blocks.where(f"m <= {SMALL}").select("b", F.explode("b").alias("x")).where("x.far").select("x", F.explode("b").alias("y"))
-    few = few.where("x.comp <> y.comp and (not y.far or x.key < y.key)")
-    same = F.size(F.array_intersect("x.s", "y.s"))
-    few = few.where(same * 100 >= PERCENT * (F.size("x.s") + F.size("y.s") - same)).select(F.least("x.comp", "y.comp").alias("a"), F.greatest("x.comp", "y.comp").alias("b")).distinct()
-    many = blocks.where(f"m > {SMALL}")
-    told = lambda s: [*[F.col(f"b.{c}").alias(f"{c}_{s}") for c in ("key", "comp", "far")], F.transform("b.s", F.size).alias(f"size_{s}"), F.flatten("b.s").alias(f"s_{s}")]
-    met = many.where("any").select("value", *told("a")).join(many.select("value", *told("b")), "value").drop("value")
-    few = materialise(few, "paragraph-few")
-    # blocks are long rows: few of them reach Python at once
-    conf = docs.sparkSession.conf
-    before = conf.get(BATCH)
-    conf.set(BATCH, str(PASSED))
-    try:
-        met = materialise(met.mapInPandas(_meetings, "a bigint, b bigint"), "paragraph-met")
-    finally:
-        conf.set(BATCH, before)
-    # these link components, so only those are joined further
-    late = components(few.union(met)).select(F.col("node").alias("comp"), F.col("component").alias("joined"))
-    labelled = classes.join(parts.withColumnRenamed("node", "key"), "key", "left").select("key", "low", "high", F.coalesce("component", "key").alias("comp"))
-    labelled = labelled.join(late, "comp", "left").select("key", "low", "high", F.coalesce("joined", "comp").alias("component"))
+    labelled = paragraph_components(rows)
     spread = labelled.groupBy("component").agg(F.min("low").alias("component_id"), F.max("high").alias("high")).where("component_id < high")
     repeats = materialise(labelled.join(spread.select("component", "component_id"), "component").select("key", "component", "component_id"), "paragraph-repeats")
-    hit = found.select("id", "pos", "key").join(repeats, "key").distinct()
+    hit = rows.mapInArrow(_emit(False), "id bigint, key bigint, pos bigint").join(repeats, "key").distinct()
     # of the smallest id the first place stays, with the paragraphs that overlap it, one after the other
     own = Window.partitionBy("component").orderBy("pos", "key")
     gap = F.coalesce(F.col("pos") >= F.lag("pos").over(own) + PARAGRAPH, F.lit(False)).cast("int")
@@ -226,7 +167,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the removed stretches cut out of the text; rows without one, null ids and null texts stay as they are."""
-    gone = repeated_passages(docs, id_col, text_col).groupBy(F.col(id_col).alias("_id")).agg(F.collect_list(F.struct("first_word", "last_word", "kept")).alias("_gone")).where(F.exists("_gone", lambda s: ~s["kept"]))
+    spans = fresh_name(docs, "spans")
+    gone = repeated_passages(docs, id_col, text_col).groupBy(F.col(id_col).alias("id")).agg(F.collect_list(F.struct("first_word", "last_word", "kept")).alias(spans)).where(F.exists(spans, lambda s: ~s["kept"]))
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
@@ -243,8 +185,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             out.append((b"".join(keep) + raw[at:]).decode("utf-8", "surrogatepass"))
         return pd.Series(out)
 
-    joined = docs.join(gone, docs[id_col] == F.col("_id"), "left")
-    return joined.withColumn(text_col, cut(F.col(text_col), F.col("_gone"))).select(*docs.columns)
+    joined = docs.join(gone, docs[id_col] == gone["id"], "left")
+    return joined.select(*[cut(docs[c], F.col(spans)).alias(c) if c == text_col else docs[c] for c in docs.columns])
 
 
 def _without(spans) -> list[tuple[int, int]]:

@@ -77,7 +77,9 @@ def test_word_hashes():
 # 1
 
 
-def test_near_vectors(spark):
+@pytest.mark.parametrize("block", [512, 4])
+def test_near_vectors(spark, monkeypatch, block):
+    monkeypatch.setattr(near_vectors, "BLOCK", block)
     rng = np.random.default_rng(1)
     base = rng.normal(size=(40, 24))
     rows, k = [], 0
@@ -85,9 +87,12 @@ def test_near_vectors(spark):
         for e in (0, 0, 0.02, 0.08, 0.2):
             rows.append((k, (b + e * rng.normal(size=24)).tolist(), i % 3))
             k += 1
-    rows += [(k, None, 1), (k + 1, [0.0] * 24, 1), (k + 2, [None] + [1.0] * 23, 1), (k + 3, [float("nan")] * 24, 1), (k + 4, rows[0][1], None), (k + 5, [], 1), (k + 6, rows[0][1], 2), (k + 7, [float("inf")] * 24, 1)]
+    for _ in range(60):  # a large group of near copies
+        rows.append((k, (base[0] + 0.03 * rng.normal(size=24)).tolist(), 0))
+        k += 1
+    rows += [(k, None, 1), (k + 1, [0.0] * 24, 1), (k + 2, [None] + [1.0] * 23, 1), (k + 3, [float("nan")] * 24, 1), (k + 4, rows[0][1], None), (k + 5, [], 1), (k + 6, rows[0][1], 2), (k + 7, [float("inf")] * 24, 1), (k + 8, [1e200] * 24, 1), (k + 9, [1e-200] * 24, 1)]
     got = {r.vec_id: r for r in near_vectors.near_vectors(spark.createDataFrame([(*r, 7) for r in rows], "vec_id bigint, embedding array<double>, label int, rep int")).collect()}
-    fine = [(i, np.array(v) / np.linalg.norm(v), y) for i, v, y in rows[:k]] + [(k + 6, np.array(rows[0][1]) / np.linalg.norm(rows[0][1]), 2)]
+    fine = [(i, np.array(v) / np.linalg.norm(v), y) for i, v, y in rows[:k]] + [(k + 6, np.array(rows[0][1]) / np.linalg.norm(rows[0][1]), 2), (k + 8, np.full(24, 24**-0.5), 1), (k + 9, np.full(24, 24**-0.5), 1)]
     links = [(a, b) for a, x, p in fine for b, y, q in fine if a < b and p == q and x @ y >= 0.98]
     want = components_of([r[0] for r in rows], links)
     for i, *_ in rows:
@@ -95,6 +100,28 @@ def test_near_vectors(spark):
     assert near_vectors.near_vectors(spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int")).isEmpty()
 
 
+def test_near_vectors_of_odd_ids(spark):
+    """An id in two labels joins nothing; null ids come after others; labels of any type."""
+    x, y = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0]
+    rows = [(1, x, "a"), (2, x, "a"), (1, x, "b"), (3, y, "b"), (None, x, "b"), (None, y, "a"), (None, y, "a"), (None, None, "a")]
+    got = sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in near_vectors.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label string")).collect())
+    assert got == sorted([("1", 1, "1", True), ("2", 1, "1", False), ("1", 1, "1", True), ("3", 0, "3", True), ("None", 1, "1", False), ("None", 1, "None", True), ("None", 1, "None", True), ("None", 0, "None", True)])
+
+
+def test_near_vectors_recall():
+    """Buckets that pairs at the least cosine meet in, for several lengths."""
+    rng = np.random.default_rng(4)
+    for dim in (24, 64, 300):
+        x = rng.normal(size=(2000, dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        away = rng.normal(size=x.shape)
+        away -= (away * x).sum(axis=1, keepdims=True) * x
+        y = 0.98 * x + np.sqrt(1 - 0.98**2) * away / np.linalg.norm(away, axis=1, keepdims=True)
+        (ka, pa), (kb, pb) = near_vectors.bucket_keys(x, 5), near_vectors.bucket_keys(y, 5)
+        met = (ka == kb) | (ka[:, :, None] == pb).any(axis=2) | (kb[:, :, None] == pa).any(axis=2)
+        assert met.any(axis=1).mean() >= 0.99, dim
+
+
 # 2
 
 
@@ -107,27 +134,37 @@ def test_passages(spark, odd, nothing):
     assert {r.doc_id for r in rows if not r.kept} >= {101, 104} and all(r.n_words >= passages.PARAGRAPH for r in rows)
     assert {r.doc_id for r in passages.repeated_passages(odd).collect()} == {7, 8, 9}
     assert passages.repeated_passages(nothing).isEmpty()
-    cut = {r.doc_id: r.text for r in passages.without_repeats(own).collect()}
+    assert {r.doc_id for r in passages.repeated_passages(own.unionByName(own).unionByName(spark.createDataFrame([(None, texts[0])], own.schema))).collect()} == {100, 101, 104}
+    clash = spark.createDataFrame([(100 + i, t, "x", i) for i, t in enumerate(texts)], "doc_id bigint, text string, spans string, id int")
+    cut = {r.doc_id: r.text for r in passages.without_repeats(clash).collect()}
+    assert cut == {r.doc_id: r.text for r in passages.without_repeats(own).collect()} and passages.without_repeats(clash).columns == clash.columns
     assert cut[102] == texts[2] and cut[103] == texts[3] and len(cut[101].split()) <= 228
 
 
-def test_passages_meet_in_a_bucket(spark):
-    """Near copies that collide only where a frequent phrase has its bucket, together with many foreign paragraphs."""
+def test_passage_links_against_brute_force(spark, monkeypatch):
+    """All pairs of paragraphs of two documents, in small and in large buckets: a tale's copies have words changed all over, so
+    many variants of one paragraph meet, some only by way of others."""
+    monkeypatch.setattr(passages, "SMALL", 4)
+    monkeypatch.setattr("parley.llm.buckets.BLOCK", 16)
     rng = random.Random(7)
-    phrase, texts = [f"p{i}" for i in range(12)], []
-    run = passages.paragraphs([" ".join(phrase * 3)])[5][:8]
-    frequent = {v for s in passages.SEEDS for v in wordhash.mix64(run ^ np.uint64(s)).astype(np.int64).tolist()}
-    while len(texts) < 60:
-        w = phrase + [f"t{rng.randrange(10**6)}" for _ in range(28)]
-        pair = [" ".join(w), " ".join([*(w[:31]), f"e{rng.randrange(10**6)}", *w[32:]])]
-        doc, _, key, bands, anchor, run = passages.paragraphs(pair)[:6]
-        held = [(set(b.tolist()), set(run[a : a + 28].tolist()), d) for b, a, d in zip(bands, anchor, doc, strict=True)]
-        similar = any(100 * len(x[1] & y[1]) >= passages.PERCENT * len(x[1] | y[1]) for x in held for y in held if x[2] < y[2])
-        collide = {v for x in held for y in held if x[2] < y[2] for v in x[0] & y[0]}
-        if similar and collide and collide <= frequent and len(set(key.tolist())) == len(key):
-            texts += pair
-    got = {r.doc_id for r in passages.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
-    assert got == set(range(len(texts)))
+    tales = [[f"t{rng.randrange(10**6)}" for _ in range(90)] for _ in range(3)]
+    texts = []
+    for i in range(150):
+        w = list(tales[i % 3])
+        for _ in range(rng.randrange(5)):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join([f"o{rng.randrange(10**6)}" for _ in range(rng.randrange(40))] + w))
+    doc, _, key, _, anchor, run = passages.paragraphs(texts)
+    sets = {k: set(run[a : a + passages.RUNS].tolist()) for k, a in zip(key.tolist(), anchor, strict=True)}
+    where = {k: set() for k in sets}
+    for k, d in zip(key.tolist(), doc.tolist(), strict=True):
+        where[k].add(d)
+    links = [(a, b) for a in sets for b in sets if a < b and len(where[a] | where[b]) > 1 and 100 * len(sets[a] & sets[b]) >= passages.PERCENT * len(sets[a] | sets[b])]
+    want = components_of(sorted(sets), links)
+    got = {r.key: r for r in passages.paragraph_components(spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")).collect()}
+    assert got.keys() == sets.keys() and len(links) > 100
+    assert all(want[r.component] == want[k] and r.low == min(where[k]) and r.high == max(where[k]) for k, r in got.items())
+    assert sum(got[a].component == got[b].component for a, b in links) >= 0.97 * len(links)
 
 
 def test_passages_keep_one_copy(spark):
