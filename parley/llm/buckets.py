@@ -21,7 +21,7 @@ from .graph import components, extended
 
 #: Hubs of a bucket, rows of a block, candidates that a member and a foreign component have at first, and how many times as
 #: many in the next round.
-HUBS, BLOCK, FIRST, MORE = 2, 512, 8, 16
+HUBS, BLOCK, FIRST, MORE = 2, 512, 4, 8
 
 
 def pair(x: str | Column, y: str | Column) -> tuple[Column, Column]:
@@ -31,8 +31,9 @@ def pair(x: str | Column, y: str | Column) -> tuple[Column, Column]:
 @dataclass
 class Buckets:
     """members: (token, m, key, *extra), m the number of keys in the bucket `token`, more than 1. could and possible tell from two
-    members' extra values whether they could be similar, as Columns and as arrays (a column and a row). verified tells of
-    distinct pairs (a, b), a < b, whether they are linked: (a, b, linked). small: rows of a small bucket."""
+    members' extra values whether they could be similar, as Columns and as arrays (a column and a row). verified keeps of
+    distinct pairs (a, b), a < b, those that are linked. small: rows of a small bucket. sketches: (key, n, sketch); close tells
+    from two rows of sketches and their n whether the members could be similar."""
 
     members: DataFrame
     verified: Callable[[DataFrame], DataFrame]
@@ -40,6 +41,8 @@ class Buckets:
     possible: Callable[[dict, dict], np.ndarray]
     extra: tuple[str, ...]
     small: int = 8
+    sketches: DataFrame | None = None
+    close: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray] | None = None
     block: int = field(default_factory=lambda: BLOCK)
 
     def components(self) -> DataFrame:
@@ -52,31 +55,32 @@ class Buckets:
         hubs = large.groupBy("token").agg(F.array_compact(F.array(*slots)).alias("hubs"))
         hubs = large.join(hubs, "token").select("key", *self.extra, F.explode("hubs").alias("hub")).where(F.col("hub.key") != F.col("key"))
         pairs = pairs.union(hubs.where(self.could(F.col, lambda c: F.col(f"hub.{c}"))).select(*pair("key", "hub.key")))
-        done = self.verified(materialise(pairs.distinct(), "bucket-pairs"))
-        parts, most = components(done.where("linked")), FIRST
+        done = materialise(pairs.distinct(), "bucket-pairs")
+        parts, most = components(self.verified(done)), FIRST
         while True:
             found = self.met(large, parts, most)
             more = not found.where("more").isEmpty()
-            fresh = materialise(found.select(*pair("x", "y")).distinct().join(done.select("a", "b"), ["a", "b"], "left_anti"), "bucket-pairs")
+            fresh = materialise(found.select(*pair("x", "y")).distinct().join(done, ["a", "b"], "left_anti"), "bucket-pairs")
             if fresh.isEmpty() and not more:
                 return parts
             new = self.verified(fresh)
-            joined = found.select(*pair("x", "y"), "cx", "cy").join(new.where("linked").select("a", "b"), ["a", "b"]).select(F.col("cx").alias("a"), F.col("cy").alias("b"))
+            joined = found.select(*pair("x", "y"), "cx", "cy").join(new, ["a", "b"]).select(F.col("cx").alias("a"), F.col("cy").alias("b"))
             parts = materialise(extended(parts, components(materialise(joined.distinct(), "bucket-links"))), "bucket-parts")
-            done = done.unionByName(new)
+            done = done.unionByName(fresh)
             if not more:
                 return parts
             most *= MORE
 
     def met(self, large: DataFrame, parts: DataFrame, most: int) -> DataFrame:
         """Candidates (x, y, their components, more) between different components in the buckets of `large`."""
-        columns = ("key", "comp", *self.extra, "far")
+        columns = ("key", "comp", *self.extra, "far", *(["sketch"] if self.sketches is not None else []))
         where = large.join(parts.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("component", "key"))
         where = materialise(where.select("token", "m", "key", "comp", *self.extra), "bucket-open")
         per = where.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
         several = per.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
         # far: not of the bucket's largest component
         rows = where.join(several.select("token", F.col("main.comp").alias("main")), "token").withColumn("far", F.col("comp") != F.col("main"))
+        rows = rows if self.sketches is None else rows.join(self.sketches.select("key", "sketch"), "key")
         rows = rows.withColumn("parts", F.ceil(F.col("m") / self.block).cast("int")).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
         blocks = rows.groupBy("token", "parts", "part").agg(F.collect_list(F.struct(*columns)).alias("b"))
         blocks = materialise(blocks.withColumn("any", F.exists("b", lambda x: x["far"])), "bucket-blocks")
@@ -84,17 +88,25 @@ class Buckets:
         # a block with far members is sent to each block of its bucket: the join's keys are blocks, so a hot bucket spreads
         one = blocks.where("any").select("token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *told("a"))
         met = one.join(blocks.select("token", "part", *told("b")), ["token", "part"]).drop("token", "part")
-        return materialise(met.mapInArrow(_meetings(self.possible, columns, most), "x bigint, y bigint, cx bigint, cy bigint, more boolean"), "bucket-met")
+        return materialise(met.mapInArrow(_meetings(self.possible, self.close, columns, most), "x bigint, y bigint, cx bigint, cy bigint, more boolean"), "bucket-met")
 
 
-def meet(a: dict, b: dict, possible: Callable[[dict, dict], np.ndarray], most: int) -> tuple[np.ndarray, ...]:
+def closest(close, a: dict, b: dict, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """close() of pairs of rows, some at a time."""
+    return np.concatenate([np.zeros(0, bool), *[close(a["sketch"][x[i : i + 4096]], b["sketch"][y[i : i + 4096]], a["n"][x[i : i + 4096]], b["n"][y[i : i + 4096]]) for i in range(0, len(x), 4096)]])
+
+
+def meet(a: dict, b: dict, possible: Callable[[dict, dict], np.ndarray], most: int, close=None) -> tuple[np.ndarray, ...]:
     """Candidates between the far members of one block of a bucket and all of another: (x, y, component of x, of y, more).
     `more` marks the last of a member and a foreign component of which there are more than `most`."""
     far = np.flatnonzero(a["far"])
-    ok = possible({c: v[far][:, None] for c, v in a.items()}, {c: v[None, :] for c, v in b.items()})
+    ok = possible({c: v[far][:, None] for c, v in a.items() if v.ndim == 1}, {c: v[None, :] for c, v in b.items() if v.ndim == 1})
     ok = ok & (a["comp"][far][:, None] != b["comp"][None, :])
     x, y = np.nonzero(ok)
     x = far[x]
+    if close is not None:
+        kept = closest(close, a, b, x, y)
+        x, y = x[kept], y[kept]
     order = np.lexsort((b["key"][y], b["comp"][y], x))
     x, y = x[order], y[order]
     fresh = np.ones(len(x), bool)
@@ -107,11 +119,16 @@ def meet(a: dict, b: dict, possible: Callable[[dict, dict], np.ndarray], most: i
     return a["key"][x], b["key"][y], a["comp"][x], b["comp"][y], more[keep]
 
 
-def _meetings(possible: Callable[[dict, dict], np.ndarray], columns: tuple[str, ...], most: int):
+def _meetings(possible, close, columns: tuple[str, ...], most: int):
+    def read(values: pa.Array) -> np.ndarray:
+        if pa.types.is_binary(values.type):
+            return np.frombuffer(b"".join(values.to_pylist()), np.uint16).reshape(len(values), -1)
+        return values.to_numpy(zero_copy_only=False)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                a, b = ({c: batch.column(f"{c}_{s}")[r].values.to_numpy(zero_copy_only=False) for c in columns} for s in "ab")
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in meet(a, b, possible, most)], ["x", "y", "cx", "cy", "more"])
+                a, b = ({c: read(batch.column(f"{c}_{s}")[r].values) for c in columns} for s in "ab")
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in meet(a, b, possible, most, close)], ["x", "y", "cx", "cy", "more"])
 
     return run

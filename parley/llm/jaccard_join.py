@@ -32,6 +32,8 @@ COUNT_BITS, MORE_ORDERS, SMALL, BLOCK = 15, (0x51ED270B, 0x2545F491), 8, 512
 HEAVY, MOST_HEAVY = 32, 1 << 18
 #: Sets that a task passes on at once.
 PASSED = 256
+#: Cells of a sketch: how many shingles of a set each cell has. From SKETCHED shingles on a sketch tells nothing.
+CELLS, SKETCHED = 128, 1 << 16
 #: The bit of an order that is set for heavy shingles.
 LAST = np.uint64(1 << 63)
 
@@ -99,12 +101,26 @@ def _order(s: np.ndarray, classes: np.ndarray, heavy: np.ndarray, seed: int) ->
     return o | (mix64(s ^ np.uint64(seed)) >> np.uint64(6))
 
 
+def _sketches(s: np.ndarray, at: np.ndarray) -> np.ndarray:
+    size = np.diff(at)
+    cell = np.repeat(np.arange(len(size)), size) * CELLS + (s >> np.uint64(20) & np.uint64(CELLS - 1)).astype(np.int64)
+    out = np.bincount(cell, minlength=len(size) * CELLS).reshape(len(size), CELLS)
+    out[size >= SKETCHED] = 0xFFFF
+    return out.astype(np.uint16)
+
+
+def close(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets with these sketches and sizes could be similar: in each cell they share the lesser number at most."""
+    shared = np.minimum(np.minimum(a, b).sum(axis=1, dtype=np.int64), np.minimum(n_a, n_b))
+    return shared * 100 >= percent * (n_a + n_b - shared)
+
+
 def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
 def _prefixes(width: int, percent: int, shared):
-    """(key, n, p) of documents with words: the places of their prefix shingles in the first order, ascending."""
+    """(key, n, p, sketch) of documents with words; p: the places of their prefix shingles in the first order, ascending."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, heavy = shared.value
@@ -114,7 +130,8 @@ def _prefixes(width: int, percent: int, shared):
                 for i, j in zip(at[:-1][full], at[1:][full], strict=True):
                     p = prefix_size(int(j - i), percent)
                     parts.append(np.sort(np.partition(order[i:j], p - 1)[:p]))
-                yield pa.RecordBatch.from_arrays([pa.array(_keys(s, at)[full]), pa.array(np.diff(at)[full]), _lists(parts, np.int64)], ["key", "n", "p"])
+                sketches = pa.array([row.tobytes() for row in _sketches(s, at)[full]], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(_keys(s, at)[full]), pa.array(np.diff(at)[full]), _lists(parts, np.int64), sketches], ["key", "n", "p", "sketch"])
 
     return run
 
@@ -136,6 +153,18 @@ def _often(width: int, percent: int, shared):
     return run
 
 
+def _plausible(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            a_, b_ = (np.frombuffer(b"".join(b.column(f"sketch_{s}").to_pylist()), np.uint16).reshape(b.num_rows, CELLS) for s in "ab")
+            kept = pa.array(close(a_, b_, b.column("n_a").to_numpy(), b.column("n_b").to_numpy(), percent))
+            yield b.select(["a", "b"]).filter(kept)
+
+    return run
+
+
 def _whole(width: int, percent: int, shared):
     """(key, n, p2, p3, s): the sets of rows (key, text) whose text has that key, and their prefixes under the other orders."""
 
@@ -182,14 +211,17 @@ class _Join:
         # at most MOST_HEAVY numbers
         heavy = often.where(F.col("m") > HEAVY).orderBy(F.desc("m"), "shingle").limit(MOST_HEAVY).select("shingle").toArrow()["shingle"].to_numpy()
         self.shared = self.spark.sparkContext.broadcast((classes, np.sort(heavy.astype(np.uint64))))
-        every = self.rows.select("text").mapInArrow(_prefixes(width, percent, self.shared), "key bigint, n bigint, p array<bigint>")
+        every = self.rows.select("text").mapInArrow(_prefixes(width, percent, self.shared), "key bigint, n bigint, p array<bigint>, sketch binary")
         self.prefixes = materialise(every.dropDuplicates(["key"]), "ngram-prefixes")
         #: Of each set: the row that stays of those that have it; null ids come last.
         self.first = self.docs.where("n > 0").groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "at")).alias("best"))
         self.sets: DataFrame | None = None
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, linked) of the pairs that share prefix shingles under the other orders too. pairs: distinct (a, b), a < b."""
+        """The linked ones of distinct pairs (a, b), a < b. Sketches tell which need not be compared; those that share no
+        prefix shingle under one of the other orders don't reach the comparison of whole sets either."""
+        side = lambda s: self.prefixes.select(F.col("key").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
+        pairs = materialise(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_plausible(self.percent), "a bigint, b bigint"), "ngram-plausible")
         asked = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
         if self.sets is not None:
             asked = asked.join(self.sets, "key", "left_anti")
@@ -206,7 +238,7 @@ class _Join:
         kept = pairs.join(side("a", "p2", "p3"), "a").join(side("b", "p2", "p3"), "b").where(F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b"))
         both = kept.select("a", "b").join(side("a", "n", "s"), "a").join(side("b", "n", "s"), "b")
         same = F.size(F.array_intersect("s_a", "s_b"))
-        return materialise(both.select("a", "b", (same * 100 >= self.percent * (F.col("n_a") + F.col("n_b") - same)).alias("linked")), "ngram-verified")
+        return materialise(both.where(same * 100 >= self.percent * (F.col("n_a") + F.col("n_b") - same)).select("a", "b"), "ngram-verified")
 
     def components(self) -> DataFrame:
         """(node, component) of the keys that link."""
@@ -224,7 +256,8 @@ class _Join:
             need = -(-percent * (a["n"] + b["n"]) // (100 + percent))
             return (np.minimum(a["n"], b["n"]) >= need) & (a["i"] <= a["n"] - need) & (b["i"] <= b["n"] - need)
 
-        return Buckets(members, self.verified, could, possible, ("n", "i"), SMALL, BLOCK).components()
+        near = lambda a, b, n_a, n_b: close(a, b, n_a, n_b, percent)
+        return Buckets(members, self.verified, could, possible, ("n", "i"), SMALL, self.prefixes, near, BLOCK).components()
 
     def told(self) -> DataFrame:
         """(id, at, n, best) of each document: the row that stays of its component."""

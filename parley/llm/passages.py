@@ -128,7 +128,7 @@ def paragraph_components(rows: DataFrame) -> DataFrame:
         every = reduce(DataFrame.unionByName, sets)
         both = pairs.join(every.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a").join(every.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b")
         same = F.size(F.array_intersect("sa", "sb"))
-        return materialise(both.select("a", "b", (same * 100 >= PERCENT * (F.size("sa") + F.size("sb") - same)).alias("linked")), "paragraph-links")
+        return materialise(both.where(same * 100 >= PERCENT * (F.size("sa") + F.size("sb") - same)).select("a", "b"), "paragraph-links")
 
     # two paragraphs that one document alone has aren't compared
     could = lambda x, y: ~((x("low") == x("high")) & (y("low") == y("high")) & (x("low") == y("low")))
