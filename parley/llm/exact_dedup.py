@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import fresh_name, materialise
 
 #: Parts of a group of copies. A constant: it bounds what one text can send to the second aggregation.
 SALTS = 64
@@ -48,7 +48,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
     """The rows of docs that exact_dedup keeps, with all their columns. Of rows that repeat an id and a text one stays."""
-    told = exact_dedup(docs, id_col, text_col, keep).where("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"))
-    keyed = docs.withColumn("_text_sha", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    stay = keyed.join(told, (F.col("_text_sha") == F.col("_sha")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
-    return stay.dropDuplicates([id_col, "_text_sha"]).drop("_text_sha")
+    sha = fresh_name(docs, "sha")
+    told = exact_dedup(docs, id_col, text_col, keep).where("kept").select(F.col(id_col).alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
+    keyed = docs.withColumn(sha, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    stay = keyed.join(told, (keyed[sha] == told["kept_sha"]) & keyed[id_col].eqNullSafe(told["kept_id"]), "left_semi")
+    return stay.dropDuplicates([id_col, sha]).drop(sha)

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh_name
 from .sampling import draw
 from .wordhash import BASE
 
@@ -81,6 +82,15 @@ class Model:
         return out
 
 
+def recognised(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose language is told and not rejected, with their columns as they were."""
+    prefix = "told_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    told = identify(docs, model, text_col, prefix)
+    return told.where(~F.col(f"{prefix}rejected")).select(*docs.columns)
+
+
 def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """Spherical k-means from spread-out starts; deterministic."""
     start = [int((x @ x.mean(axis=0)).argmax())]
@@ -137,7 +147,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", prefix: str = "") -> DataFrame:
-    """docs with <prefix>lang_pred, <prefix>score (the best cosine, 0 to 1) and <prefix>rejected.
+    """docs with <prefix>lang_pred, <prefix>score (the best cosine, 0 to 1) and <prefix>rejected; columns of docs that have these
+    names, in either case, are replaced. Rows that repeat an id are predicted each by itself; of an empty table nothing comes.
 
     A text that is null or has no letter is `und` with score 0, rejected. Any other text gets a learned
     language, and is rejected if it is farther from its centroid than any training text by far. With no
@@ -148,8 +159,6 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", prefix: str
     def predict(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame(shared.value.nearest(texts.tolist()), columns=["lang_pred", "score", "rejected"])
 
-    at = "_identified"
-    while at in docs.columns:
-        at += "_"
+    at = fresh_name(docs, "identified")
     told = docs.withColumn(at, predict(F.col(text_col)))
     return told.withColumns({f"{prefix}{c}": F.col(at)[c] for c in ("lang_pred", "score", "rejected")}).drop(at)

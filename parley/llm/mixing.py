@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise
+from .common import WORD, fresh_name, materialise
 
 #: Mean number of documents in a block of the reduction tree, and the weights that sources get in turn.
 BLOCK, WEIGHTS = 128, (3.0, 1.0, 2.0)
@@ -121,3 +121,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     extra = pivotal_round(fractional, seed).withColumnRenamed("p", "extra")
     copies = (F.col("sure") + F.coalesce(F.col("extra"), F.lit(0.0))).cast("long")
     return rated.join(extra, "key", "left").select(F.col("id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **more) -> DataFrame:
+    """docs with each row as many times as mix takes it, their columns as they were. Rows that agree in id and size are taken
+    equally often, null ids included; documents without words are taken as often as is sure for their source. Of an empty table nothing comes."""
+    size, n = fresh_name(docs, "size"), fresh_name(docs, "n")
+    told = mix(docs, id_col, text_col, source_col, **more).groupBy(F.col(id_col).alias("mix_id"), F.col("size").alias("mix_size")).agg(F.max("copies").alias("mix_copies")).where("mix_copies > 0")
+    rows = docs.withColumn(size, word_count(F.col(text_col)))
+    joined = rows.join(told, rows[id_col].eqNullSafe(told["mix_id"]) & (rows[size] == told["mix_size"]))
+    return joined.withColumn(n, F.explode(F.sequence(F.lit(1), told["mix_copies"].cast("int")))).select(*[rows[c] for c in docs.columns])

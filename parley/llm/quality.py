@@ -15,12 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import draw
-from .wordhash import BASE, SPACE, range_hashes, word_spans
+from .wordhash import BASE, SPACE, mix64, range_hashes, word_spans
 
 #: Bits of the hash buckets, vector length, n-gram lengths in bytes, training rows in all, passes, rate, batch.
 BUCKET_BITS, DIM, LENGTHS, SAMPLE, EPOCHS, RATE, BATCH = 13, 16, (1, 2, 3, 4), 4000, 12, 0.1, 32
-#: How often a word that follows itself counts.
-PAIR_WEIGHT = 16
+#: What is hashed for two neighbouring words that are equal, and for two that aren't.
+SAME, OTHER = np.uint64(1), np.uint64(2)
 #: Bytes of text that are hashed together; a longer text is hashed alone.
 TOGETHER = 1 << 18
 
@@ -31,7 +31,8 @@ def _bucket(h: np.ndarray) -> np.ndarray:
 
 def features(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For some texts at a time, in order: the buckets of all features of the whole texts, and the number of features
-    of each text. Features: words, a word that follows itself, and n-grams of bytes, in which all white space is a space. Empty texts have none."""
+    of each text. Features: words, the pattern of each two neighbouring words (equal or not),
+    and n-grams of bytes, in which all white space is a space. Empty texts have none."""
     group, size = [], 0
     for t in texts:
         raw = (t or "").encode("utf-8", "surrogatepass")
@@ -52,10 +53,9 @@ def _hashed(group: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     full = np.zeros(len(group), bool)
     full[doc[starts]] = True
     word, owner = range_hashes(data, starts, ends), doc[starts]
-    again = (word[1:] == word[:-1]) & (owner[1:] == owner[:-1])
-    # words, and one bucket for all pairs of a word with itself, which weighs as much as a word's n-grams
-    pairs = np.repeat(owner[1:][again], PAIR_WEIGHT)
-    at, of = [_bucket(word), np.zeros(len(pairs), np.int64)], [owner, pairs]
+    # words, and of each two neighbours whether they are equal
+    pair = owner[1:] == owner[:-1]
+    at, of = [_bucket(word), _bucket(mix64(np.where(word[1:] == word[:-1], SAME, OTHER)))[pair]], [owner, owner[1:][pair]]
     x, h = data.astype(np.uint64) + np.uint64(1), np.zeros(len(data), np.uint64)
     for n in range(1, max(LENGTHS) + 1):
         if len(x) < n:
@@ -140,8 +140,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
-    """docs with a column `out` of scores in 0 to 1, higher where label 1 is likelier. An empty or null text
-    gets the score of the bias alone. Whole texts are read; a score depends on the text alone."""
+    """docs with a column `out` of scores in 0 to 1, higher where label 1 is likelier; a column of docs that has that name, in
+    either case, is replaced. An empty or null text gets the score of the bias alone. Rows that repeat an id are
+    scored each by itself. Whole texts are read; a score depends on the text alone. Of an empty table nothing comes; with
+    no labelled row all scores are 0.5."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

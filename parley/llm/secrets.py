@@ -126,14 +126,25 @@ def build_index(texts: DataFrame, vocabulary: list[str]) -> DataFrame:
     return texts.select("key", F.explode(present).alias("trigram"))
 
 
+#: Trigrams that one number has bits for.
+WORD_BITS = 62
+
+
 def candidates(index: DataFrame, queries: dict[str, Query], vocabulary: list[str]) -> DataFrame:
     """(key, kinds): for each key that satisfies a query, the kinds whose query it satisfies. The postings of a
-    key meet as one bit each, so intersecting and uniting are bit operations, and maps send one row a key."""
-    bit = {t: 1 << i for i, t in enumerate(vocabulary)}
-    found = index.groupBy("key").agg(F.bit_or(F.expr("shiftleft(cast(1 as bigint), trigram)")).alias("bits"))
+    key meet as one bit each, so intersecting and uniting are bit operations, and maps send one row a key. A
+    vocabulary has as many numbers of WORD_BITS bits as it needs."""
+    place = {t: divmod(i, WORD_BITS) for i, t in enumerate(vocabulary)}
+    words = range(-(-len(vocabulary) // WORD_BITS))
+    bit = F.expr(f"shiftleft(cast(1 as bigint), trigram % {WORD_BITS})")
+    found = index.groupBy("key").agg(*[F.coalesce(F.bit_or(F.when(F.floor(F.col("trigram") / WORD_BITS) == w, bit)), F.lit(0)).alias(f"bits_{w}") for w in words])
+
+    def all_of(trigrams: frozenset) -> Column:
+        masks = {w: sum(1 << b for v, b in map(place.get, trigrams) if v == w) for w in words}
+        return reduce(lambda a, b: a & b, [F.col(f"bits_{w}").bitwiseAND(F.lit(m)) == m for w, m in masks.items() if m])
 
     def holds(q: Query) -> Column:
-        return reduce(lambda a, b: a | b, [F.col("bits").bitwiseAND(F.lit(m)) == m for m in sorted(sum(bit[t] for t in s) for s in q)])
+        return reduce(lambda a, b: a | b, [all_of(s) for s in sorted(q, key=sorted)])
 
     named = F.filter(F.array(*[F.when(holds(q), F.lit(k)) for k, q in sorted(queries.items())]), lambda x: x.isNotNull())
     return found.select("key", named.alias("kinds")).where(F.size("kinds") > 0)
@@ -170,13 +181,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more:
 
     Null text counts as empty: no spans. Rows that repeat an id are scanned each by itself; they share
     their candidates, which verification tells apart. A null id is an id. Whole texts are scanned; offsets are
-    code points, ends exclusive; spans are ordered by start, then kind in the order of the rules."""
+    code points, ends exclusive; spans are ordered by start, then kind in the order of the rules. Of an empty table nothing
+    comes; other columns are ignored, whatever their names."""
     rules = BASE_RULES + more
     rows = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     queries = {r.kind: q for r in rules if (q := trigram_query(r.regex)) != ANY}
     vocabulary = sorted({t for q in queries.values() for s in q for t in s})
-    if len(vocabulary) > 62:
-        raise ValueError("more than 62 trigrams: scan with fewer rules at a time")
     if queries:
         index = build_index(rows, vocabulary)
         asked = materialise(candidates(index, queries, vocabulary), "secret-candidates").withColumnRenamed("key", "k")

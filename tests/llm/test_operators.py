@@ -438,6 +438,128 @@ def test_near_duplicates_of_odd_rows(spark, nothing):
 
 # the pipeline
 
+CLASH = "told_rejected boolean, told__score string, sha string, size string, n string, id string, at string, row string, key string, mix_id int, kept_id int, spans int, identified int, gone_id int, gone_row int"
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    """Documents with nulls, ties, repeated rows, a long text, and columns that have the names of columns made inside."""
+    base = [(i, t, "en" if i % 2 else None, None if i % 3 == 0 else "s", len(t or "")) for i, t in ODD] + [(None, "one", "en", "s", 3), (None, edited(TALE, 1), "en", None, 1), (7, TALE, "en", "s", 1), (7, "another text of this id", "en", "s", 1)]
+    extra = (True, "x", "sha", "size", "n", "id", "at", "row", "key", 1, 2, 3, 4, 5, 6)
+    return spark.createDataFrame([(*r, *extra) for r in base], f"doc_id bigint, text string, lang string, source string, n_chars bigint, {CLASH}")
+
+
+@pytest.mark.parametrize("name", ["language_id", "exact_dedup", "near_dedup", "source_mixing", "bpe_encoding"])
+def test_stages_on_odd_rows(spark, clashing, name):
+    import corpus_pipeline
+
+    stage = dict(corpus_pipeline.STAGES)[name]
+    made, none = stage(spark, clashing, SF), stage(spark, clashing.limit(0), SF)
+    rows = [(r.doc_id, r.text) for r in clashing.select("doc_id", "text").collect()]
+    if name == "bpe_encoding":
+        assert made.count() == len(rows) and none.isEmpty()
+        return
+    assert made.columns == none.columns == clashing.columns and none.isEmpty()
+    got = made.collect()
+    left = sorted((str(r.doc_id), r.text or "") for r in got)
+    assert {(r.told_rejected, r.sha, r.size, r.row, r.mix_id, r.gone_row) for r in got} == {(True, "sha", "size", "row", 1, 6)}
+    if name == "language_id":
+        assert set(left) <= {(str(i), t) for i, t in rows if t and any(c.isalpha() for c in t)}
+    if name == "exact_dedup":
+        want = {}
+        for i, t in rows:
+            want[t or ""] = max(want.get(t or "", -1), -1 if i is None else i)
+        assert left == sorted(("None" if i < 0 else str(i), t) for t, i in want.items())
+    if name == "near_dedup":
+        assert len({t for _, t in left if t.strip()}) == sum(1 for _, t in left if t.strip() and t != TALE) + 1
+        assert sum(t in (TALE, ODD[8][1], rows[-3][1]) or t == rows[len(ODD) + 1][1] for _, t in left) <= 2 and ("4", "one") in left and ("5", "one") not in left
+    if name == "source_mixing":
+        times = {r: left.count(r) for r in left}
+        copies = {}
+        for r in mixing.mix(clashing).collect():
+            copies[str(r.doc_id), r["size"]] = max(r.copies, copies.get((str(r.doc_id), r["size"]), 0))
+        of = {(str(i), t or ""): sum((i, t or "") == (j, u or "") for j, u in rows) for i, t in rows}
+        assert all(n == of[r] * copies[r[0], len(re.findall(r"[^\x20\x09-\x0D]+", r[1]))] for r, n in times.items())
+
+
+def test_taken_odds(spark):
+    """Over many seeds each document is taken as often as its source's rate, and each source's words stay near its target."""
+    sizes = [3, 50, 7, 7, 120, 1, 15, 30, 80, 4, 9, 60] * 2
+    docs = spark.createDataFrame([(i, some_words(n), "ab"[i % 2]) for i, n in enumerate(sizes)], "doc_id bigint, text string, source string").cache()
+    runs = 30
+    total = dict.fromkeys(range(len(sizes)), 0)
+    for seed in range(runs):
+        rows = mixing.mix(docs, seed=seed).collect()
+        for s in {r.target for r in rows}:
+            some = [r for r in rows if r.target == s]
+            assert abs(sum(r.taken for r in some) - s) <= max(r["size"] for r in some)
+        for r in rows:
+            total[r.doc_id] += r.copies
+            rate = r.target / r.source_size
+            assert r.copies in (int(rate), int(rate) + 1)
+    rates = {r.doc_id: r.target / r.source_size for r in rows}
+    off = [total[i] / runs - rates[i] for i in total if sizes[i] > 4]
+    assert abs(np.mean(off)) < 0.1 and max(map(abs, off)) < 0.45
+
+
+def test_language_against_brute_force(spark):
+    """Dense vectors and one cosine after the other."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language.fit(docs)
+    rows = [r.text for r in docs.select("text").limit(60).collect()] + ["", None, "ß 漢字 é", "a"]
+    base, mask = int(wordhash.BASE), 2**64 - 1
+    for text, (lang, score, _) in zip(rows, model.nearest(rows), strict=True):
+        clean = " " + "".join(c if c.isalpha() else " " for c in (text or "").lower()) + " "
+        clean = re.sub(" +", " ", clean)
+        if clean == " ":
+            assert (lang, score) == ("und", 0.0)
+            continue
+        v = np.zeros(len(model.idf))
+        for n in language.LENGTHS:
+            for i in range(len(clean) - n + 1):
+                h = 0
+                for c in clean[i : i + n]:
+                    h = (h + ord(c) + 1) * base & mask
+                v[((h ^ h >> 29) * base & mask) >> 64 - language.DIM_BITS | 0 if n == 1 else (((h ^ h >> 29) * base & mask) >> 64 - language.DIM_BITS) + (n - 1) * (1 << language.DIM_BITS)] += 1
+        v = np.log1p(v) * model.idf
+        cos = [float(v @ c / np.linalg.norm(v) / np.linalg.norm(c)) for c in model.centroids.T]
+        assert abs(max(cos) - score) < 1e-3 and model.languages[model.owner[int(np.argmax(cos))]] == lang
+
+
+def test_quality_against_brute_force(spark):
+    """One feature after the other, and the mean of their weights."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels)
+    rows = [r.text for r in docs.select("text").limit(20).collect()] + ["", None, " \n", "a a b"]
+    base, mask = int(wordhash.BASE), 2**64 - 1
+    bucket = lambda h: ((h ^ h >> 29) * base & mask) >> 64 - quality.BUCKET_BITS
+    mixed = lambda x: int(wordhash.mix64(np.array([x], np.uint64))[0])
+    for text, score in zip(rows, model.scores(rows), strict=True):
+        raw = re.sub(rb"[\x09-\x0d]", b" ", (text or "").encode())
+        words = raw.split()
+        total = [model.weight[bucket(int(wordhash.range_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0]))] for w in words]
+        total += [model.weight[bucket(mixed(int(quality.SAME if a == b else quality.OTHER)))] for a, b in zip(words, words[1:], strict=False)]
+        padded = b" " + raw + b" "
+        for n in quality.LENGTHS if words else ():
+            for i in range(len(padded) - n + 1):
+                h = 0
+                for c in padded[i : i + n]:
+                    h = (h + c + 1) * base & mask
+                total.append(model.weight[bucket(h + n & mask)])
+        z = (sum(total) / len(total) if total else 0.0) + model.bias
+        assert abs(1 / (1 + np.exp(-z)) - score) < 1e-9
+
+
+def test_many_trigrams(spark):
+    """More rules than one number has bits for."""
+    words = ["".join(random.choice("bcdfgkmnp") for _ in range(9)) for _ in range(40)]
+    rules = tuple(secrets.Rule(f"k{i}", f"{w}[0-9]+", 0, 10) for i, w in enumerate(words))
+    docs = spark.createDataFrame([(i, f"x {w}{i} {w.upper()}7 {words[i - 1]}") for i, w in enumerate(words)], "doc_id bigint, text string")
+    got = {r.doc_id: [f.kind for f in r.found] for r in secrets.scan(docs, more=rules).collect()}
+    assert got == {i: [f"k{i}"] for i in range(40)}
+
+
+
 
 def test_pipeline(spark):
     import corpus_pipeline
