@@ -1,29 +1,29 @@
 """The corpus pipeline: language ID, exact dedup, near-duplicate removal, source mixing, BPE encoding.
 
 Each stage takes all that its predecessor kept and returns the columns of documents; the last returns token
-ids. The stages assume that doc_id is the documents' key: rows that repeat an id stay or go together in
-the third stage and are taken equally often in the fourth."""
+ids. Extra columns stay as they are, whatever their names, up to the last stage. Of an empty table each stage
+returns an empty one."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from parley.llm import bpe, language
 from parley.llm.common import materialise
 from parley.llm.exact_dedup import without_copies
 from parley.llm.jaccard_join import without_near_duplicates
-from parley.llm.mixing import mix
+from parley.llm.mixing import mixed
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose language is recognised: they have letters and are not far from every centroid."""
-    told = language.identify(docs, language.fit(docs), prefix="_told_")
-    return told.where(~F.col("_told_rejected")).select(*docs.columns)
+    """Keeps the documents whose language is recognised: they have letters and are not far from every centroid. Null and
+    empty texts go, rows that repeat an id are judged each by itself, and of an empty table nothing comes."""
+    return language.recognised(docs, language.fit(docs))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the largest doc_id of each group of equal texts."""
+    """Keeps the largest doc_id of each group of equal texts; null counts as the empty text. Of rows that repeat an id and a text
+    one stays; a null id only if no other row has the text."""
     return without_copies(docs, keep="max")
 
 
@@ -35,14 +35,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it; not at all, once or twice."""
-    taken = mix(docs).groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    rows = docs.join(taken.withColumnRenamed("doc_id", "_id"), docs["doc_id"].eqNullSafe(F.col("_id"))).where("_copies > 0")
-    return rows.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    """Each document as many times as the mix takes it; not at all, once or twice. The null source is a source; documents
+    without words are taken as often as is sure for their source; rows that agree in id and size are taken equally often."""
+    return mixed(docs)
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with their digests and those of the decoded text."""
+    """Token ids of each document, with their digests and those of the decoded text. Null and empty texts have no tokens; each
+    row is encoded by itself, whatever its id."""
     import public_tokenizers
 
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"), ids=True)
