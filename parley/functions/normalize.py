@@ -112,3 +112,8 @@ def forms(column: Column) -> Column:
         return pd.DataFrame({"surface": [[surface(w) for w in r] for r in rows], "lemma": [[lemma(w) for w in r] for r in rows]})
 
     return run(column)
+
+
+def lower_forms(column: Column) -> Column:
+    """forms() by plain rules, natively: words as they are, and in lower case as their lemmas."""
+    return F.struct(column.alias("surface"), F.transform(column, F.lower).alias("lemma"))

@@ -5,8 +5,10 @@ at most: the range partitioning of the postings by (field, term), which lets a q
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import normalize
@@ -20,6 +22,9 @@ FIELDS = ("surface", "lemma", "context")
 
 MESSAGE = "memory string, message_id string, session_id string, session_ref string, message_ref string, seq bigint, author string, role string, ts bigint, body string, ord bigint"
 UNIT = "memory string, unit_id string, message_id string, session_id string, session_ref string, message_ref string, message_seq bigint, unit_seq int, start int, end int, code boolean, text string, sentences array<string>, author string, role string, ts bigint, ord bigint"
+TERM_STAT = "memory string, field string, term string, df bigint"
+#: total_len of each field, and n_units in a row of its own, whose field is *.
+FIELD_STAT = "memory string, field string, n_units bigint, total_len bigint"
 POSTING = "memory string, field string, term string, unit_id string, message_id string, tf int, positions array<int>, len int"
 
 
@@ -33,16 +38,27 @@ def units_of(messages: DataFrame) -> DataFrame:
     )
 
 
-def context_terms(lemmas: DataFrame) -> DataFrame:
-    """lemmas(memory, message_id, unit_id, lemma array) with context: the first CONTEXT_TERMS lemmas of its message, in byte
-    order, that the unit hasn't itself. This is what a rebuilt index has, whatever the order of arrival."""
-    shared = lemmas.groupBy("memory", "message_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("lemma")))).alias("all"))
+def context_terms(lemmas: DataFrame, known: DataFrame | None = None, n_units: int = 0) -> DataFrame:
+    """lemmas(memory, message_id, unit_id, lemma array) with context: the first CONTEXT_TERMS lemmas of its message that the
+    unit hasn't itself, the rarest first, those as rare in byte order. known (term, df) of n_units units tells what is rare and
+    what is in more than CEILING of them and so is never borrowed; without it, as when an index is built anew, byte order decides."""
+    if known is None:
+        shared = lemmas.groupBy("memory", "message_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("lemma")))).alias("all"))
+    else:
+        ceiling = int(max(n_units, 1) * CEILING)
+        own = lemmas.select("memory", "message_id", F.explode("lemma").alias("term")).where("term <> ''").distinct()
+        rated = own.join(known, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+        fine = F.col("df") <= ceiling if ceiling else F.lit(True)
+        ranked = F.filter(F.array_sort(F.collect_list(F.struct(fine.alias("fine"), "df", "term"))), lambda x: x["fine"])
+        shared = rated.groupBy("memory", "message_id").agg(F.transform(ranked, lambda x: x["term"]).alias("all"))
+        shared = lemmas.select("memory", "message_id").distinct().join(shared, ["memory", "message_id"], "left").withColumn("all", F.coalesce("all", F.array().cast("array<string>")))
     near = F.slice(F.filter(F.array_except("all", "lemma"), lambda t: t != ""), 1, CONTEXT_TERMS)
     return lemmas.join(shared, ["memory", "message_id"]).select("memory", "message_id", "unit_id", near.alias("context"))
 
 
 def _posted(column):
-    """(term, tf, positions) of an array of terms; an empty term has no posting but keeps its position."""
+    """(term, tf, positions) of an array of terms; an empty term has no posting but keeps its position. In Python, as it takes
+    one pass there; array functions would go through the array once for each term."""
 
     @F.pandas_udf("array<struct<term:string,tf:int,positions:array<int>>>")
     def run(rows: pd.Series) -> pd.Series:
@@ -58,11 +74,12 @@ def _posted(column):
     return run(column)
 
 
-def postings_of(units: DataFrame) -> DataFrame:
-    """Postings of all three fields. Context has no positions; its terms go through the lemma rules once more."""
-    told = units.select("memory", "message_id", "unit_id", normalize.words(F.col("text")).alias("words")).withColumn("f", normalize.forms(F.col("words")))
+def postings_of(units: DataFrame, known: DataFrame | None = None, n_units: int = 0, forms: Callable[[Column], Column] = normalize.forms) -> DataFrame:
+    """Postings of all three fields. Context has no positions; its terms go through the lemma rules once more. known, n_units: see
+    context_terms. forms: the rules, normalize.forms or normalize.lower_forms."""
+    told = units.select("memory", "message_id", "unit_id", normalize.words(F.col("text")).alias("words")).withColumn("f", forms(F.col("words")))
     own = told.select("memory", "message_id", "unit_id", F.col("f.surface").alias("surface"), F.col("f.lemma").alias("lemma"))
-    near = context_terms(own).withColumn("context", normalize.forms(F.col("context"))["lemma"]).select("memory", "unit_id", "message_id", F.lit("context").alias("field"), F.col("context").alias("terms"))
+    near = context_terms(own, known, n_units).withColumn("context", forms(F.col("context"))["lemma"]).select("memory", "unit_id", "message_id", F.lit("context").alias("field"), F.col("context").alias("terms"))
     written = own.select("memory", "unit_id", "message_id", F.explode(F.create_map(F.lit("surface"), F.col("surface"), F.lit("lemma"), F.col("lemma"))).alias("field", "terms"))
     fields = written.unionByName(near).withColumn("len", F.size(F.filter("terms", lambda t: t != ""))).where("len > 0")
     rows = fields.select("memory", "field", "unit_id", "message_id", "len", F.explode(_posted(F.col("terms"))).alias("p"))
@@ -81,6 +98,16 @@ def field_stats(units: DataFrame, postings: DataFrame) -> DataFrame:
     return total.join(units.groupBy("memory").agg(F.count(F.lit(1)).alias("n_units")), "memory")
 
 
+def size_stats(units: DataFrame, postings: DataFrame) -> DataFrame:
+    """FIELD_STAT rows; those of several segments add up."""
+    total = postings.groupBy("memory", "field").agg(F.lit(0).cast("bigint").alias("n_units"), F.sum("tf").cast("bigint").alias("total_len"))
+    return total.unionByName(units.groupBy("memory").agg(F.count(F.lit(1)).alias("n_units")).select("memory", F.lit("*").alias("field"), "n_units", F.lit(0).cast("bigint").alias("total_len")))
+
+
+def layout_stats(stats: DataFrame) -> DataFrame:
+    return stats.repartitionByRange("memory", "field", "term").sortWithinPartitions("memory", "field", "term")
+
+
 def layout(postings: DataFrame) -> DataFrame:
     """Ranges of (memory, field, term), sorted: a query's terms are found by row-group statistics."""
     return postings.repartitionByRange("memory", "field", "term").sortWithinPartitions("memory", "field", "term", "unit_id")

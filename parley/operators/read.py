@@ -33,14 +33,14 @@ def window(units: DataFrame, cursors: DataFrame, before: int = 2, after: int = 2
     First the messages up to `before` back and `after` forward; then, unless whole messages are asked for, so
     many units back and forward within those. Negative numbers count as 0. Unknown cursors have no rows."""
     before, after = max(0, before), max(0, after)
-    anchors = units.join(F.broadcast(cursors.select("unit_id").distinct()), "unit_id").select(F.col("unit_id").alias("cursor"), F.col("session_id").alias("s"), F.col("message_seq").alias("at"))
-    near = units.join(F.broadcast(anchors), (F.col("session_id") == F.col("s")) & F.col("message_seq").between(F.col("at") - before, F.col("at") + after))
+    anchors = units.join(cursors.select("unit_id").distinct(), "unit_id").select(F.col("unit_id").alias("cursor"), F.col("session_id").alias("s"), F.col("message_seq").alias("at"))
+    near = units.join(anchors, (F.col("session_id") == F.col("s")) & F.col("message_seq").between(F.col("at") - before, F.col("at") + after))
     if not messages:
         order = Window.partitionBy("cursor").orderBy("message_seq", "unit_seq")
         near = near.withColumn("nth", F.row_number().over(order))
         near = near.withColumn("own", F.max(F.when(F.col("unit_id") == F.col("cursor"), F.col("nth"))).over(Window.partitionBy("cursor"))).where(F.col("nth").between(F.col("own") - before, F.col("own") + after))
     marked = near.groupBy("unit_id").agg(F.max(F.col("unit_id") == F.col("cursor")).alias("anchor"))
-    return units.join(F.broadcast(marked), "unit_id").select("session_id", "message_id", "message_seq", "unit_id", "unit_seq", "role", "ts", "text", "anchor", "ord").orderBy("ord", "session_id", "message_seq", "unit_seq").drop("ord")
+    return units.join(marked, "unit_id").select("session_id", "message_id", "message_seq", "unit_id", "unit_seq", "role", "ts", "text", "anchor", "ord").orderBy("ord", "session_id", "message_seq", "unit_seq").drop("ord")
 
 
 def missing(units: DataFrame, cursors: DataFrame) -> DataFrame:

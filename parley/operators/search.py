@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -10,11 +11,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import normalize
-from ..plans.compiler import COVERAGE_POWER, Compiler, Plan, Statistics, proximity, recency, wanted
+from ..plans.compiler import COVERAGE_POWER, MOST_EXPANSIONS, Compiler, Plan, Statistics, proximity, recency, wanted
 from ..plans.parser import FIELDS, parse
 
 #: Candidates for each hit asked for, hints, and the units that a hint must stand in (fixed values).
 OVERFETCH, HINTS, HINT_LEAST = 4, 6, 2
+#: The most hits that are sent to the texts; more meet them in a join that Spark chooses.
+SENT = 10_000
 
 
 @dataclass
@@ -24,6 +27,9 @@ class Index:
     units: DataFrame
     postings: DataFrame
     memory: str | None = None
+    stats: DataFrame | None = None  # written term statistics, else they are counted from the postings
+    sizes: DataFrame | None = None  # written numbers of units and terms
+    forms: Callable[[Column], Column] = normalize.forms  # the rules that made the postings
     _counts: tuple[int, dict[str, float]] | None = field(default=None, repr=False)
 
     def of(self, table: DataFrame) -> DataFrame:
@@ -31,27 +37,37 @@ class Index:
 
     def counts(self) -> tuple[int, dict[str, float]]:
         """The number of units and each field's mean number of terms; asked once."""
+        if self._counts is None and self.sizes is not None:
+            rows = {r.field: r for r in self.of(self.sizes).groupBy("field").agg(F.sum("n_units").alias("n"), F.sum("total_len").alias("total")).collect()}
+            n = rows["*"].n if "*" in rows else 0
+            self._counts = n, {f: (rows[f].total if f in rows else 0) / max(n, 1) for f in FIELDS}
         if self._counts is None:
             n = self.of(self.units).count()
             total = {r[0]: r[1] for r in self.of(self.postings).groupBy("field").agg(F.sum("tf")).collect()}
             self._counts = n, {f: total.get(f, 0) / max(n, 1) for f in FIELDS}
         return self._counts
 
-    def term_stats(self) -> DataFrame:
-        """(field, term, df)"""
-        return self.of(self.postings).groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+    def term_stats(self, only: DataFrame | None = None) -> DataFrame:
+        """(field, term, df), of the terms in only(term) if that is given. Sums over the segments' written statistics."""
+        some = (lambda t: t) if only is None else (lambda t: t.join(only, "term", "left_semi"))
+        if self.stats is not None:
+            return some(self.of(self.stats)).groupBy("field", "term").agg(F.sum("df").alias("df")).where("df > 0")
+        return some(self.of(self.postings)).groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+
+    def lemma_stats(self) -> DataFrame:
+        return self.term_stats().where("field = 'lemma'").select("term", "df")
 
     def lookup(self, terms: set, prefixes: set, loose: set) -> Statistics:
         """Frequencies of a query's terms; what it may expand to. One small job, bounded by the query."""
         n, mean = self.counts()
-        held = self.of(self.postings)
+        held = self.term_stats()
         some = [(F.col("field") == f) & F.col("term").isin(*sorted(t for g, t in terms if g == f)) for f in sorted({f for f, _ in terms})]
         df = {}
         if some:
-            df = {(r.field, r.term): r.df for r in held.where(reduce(lambda a, b: a | b, some)).groupBy("field", "term").agg(F.count(F.lit(1)).alias("df")).collect()}
+            df = {(r.field, r.term): r.df for r in held.where(reduce(lambda a, b: a | b, some)).collect()}
         starting: dict = {}
         for f, p in sorted(prefixes):
-            rows = held.where((F.col("field") == f) & F.col("term").startswith(p)).groupBy("term").agg(F.count(F.lit(1)).alias("df")).orderBy("term").limit(50).collect()
+            rows = held.where((F.col("field") == f) & F.col("term").startswith(p)).orderBy("term").limit(MOST_EXPANSIONS).collect()
             starting[f, p] = [r.term for r in rows]
             df |= {(f, r.term): r.df for r in rows}
         similar: dict = {}
@@ -172,7 +188,8 @@ def search(index: Index, query: str, fuzzy: bool = False, limit: int | None = 10
     if max_per_message is not None:
         top = top.withColumn("nth", F.row_number().over(Window.partitionBy("message_id").orderBy(*order))).where(F.col("nth") <= max_per_message)
     if limit is not None:
-        top = F.broadcast(top.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))).where(F.col("rank") <= limit))
+        top = top.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))).where(F.col("rank") <= limit)
+        top = F.broadcast(top) if limit <= SENT else top
     else:
         top = top.withColumn("rank", F.lit(None).cast("int"))
     # texts are read for the hits only
@@ -185,13 +202,14 @@ def search(index: Index, query: str, fuzzy: bool = False, limit: int | None = 10
         F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("words"), snippet(F.col("sentences"), F.col("text"), ideas).alias("snippet"), "text",
     )
     hits = hits if limit is None else hits.orderBy("rank")
-    return Found(hits, plan.unknown, plan.fuzzy, hints(index, hits, set().union(*ideas), limit is not None))
+    return Found(hits, plan.unknown, plan.fuzzy, hints(index, hits, set().union(*ideas), limit is not None and limit <= SENT))
 
 
 def hints(index: Index, hits: DataFrame, asked: set[str], few: bool = True) -> DataFrame:
     """Lemmas of the hits that the query didn't ask for and that HINT_LEAST units or more hold, rarest first."""
-    lemmas = hits.select(F.explode(normalize.forms(normalize.words(F.col("text")))["lemma"]).alias("term")).where("term <> ''").distinct()
+    lemmas = hits.select(F.explode(index.forms(normalize.words(F.col("text")))["lemma"]).alias("term")).where("term <> ''").distinct()
     if asked:
         lemmas = lemmas.where(~F.col("term").isin(*sorted(asked)))
-    known = index.term_stats().where("field = 'lemma'").where(F.col("df") >= HINT_LEAST)
-    return known.join(F.broadcast(lemmas) if few else lemmas, "term").select("term", F.col("df").alias("units")).orderBy("units", "term").limit(HINTS)
+    # only the statistics of those lemmas are summed
+    known = index.term_stats(F.broadcast(lemmas) if few else lemmas).where("field = 'lemma'").where(F.col("df") >= HINT_LEAST)
+    return known.select("term", F.col("df").alias("units")).orderBy("units", "term").limit(HINTS)

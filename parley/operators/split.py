@@ -31,10 +31,11 @@ Line = tuple[int, int]  # where the line's content starts and ends, container ma
 
 
 class _Blocks:
-    """Collects (start, end, code) of leaf blocks and (start, end) of list items."""
+    """Reads blocks and writes down the units, (start, end, code), in reading order. Each place of the text belongs to one
+    unit at most, as no block with text holds another: a list item has what stands before its first inner unit."""
 
     def __init__(self, text: str):
-        self.text, self.leaves, self.items = text, [], []
+        self.text, self.units = text, []
 
     def blank(self, line: Line) -> bool:
         return not self.text[line[0] : line[1]].strip()
@@ -116,7 +117,13 @@ class _Blocks:
                     self.leaf(lines, start, i)
 
     def leaf(self, lines: list[Line], start: int, end: int, code: bool = False) -> None:
-        self.leaves.append((lines[start][0], lines[end - 1][1], code))
+        self.write(lines[start][0], lines[end - 1][1], code)
+
+    def write(self, start: int, end: int, code: bool = False, at: int | None = None) -> None:
+        """A unit without the white space around it, as the last or at a place in the order; none if nothing else is there."""
+        held = re.search(r"\S(?:.*\S)?", self.text[start:end], re.S)
+        if held:
+            self.units.insert(len(self.units) if at is None else at, (start + held.start(), start + held.end(), code))
 
     def list(self, lines: list[Line], i: int) -> int:
         """The items of one list from line i on; the line after it."""
@@ -152,18 +159,13 @@ class _Blocks:
             if after < n and after > i and _ITEM.match(self.text[lines[after][0] : lines[after][1]]) and _ITEM.match(self.text[lines[after][0] : lines[after][1]])[2][-1] == kind:
                 loose, i = True, after
         for first, inner in found:
-            self.items.append((first, inner[-1][1]))
+            place = len(self.units)
             self.read(inner, tight=not loose)
+            held = self.units[place:]
+            self.write(first, held[0][0] if held else inner[-1][1], at=place)
         return i
 
 
-def _trimmed(text: str, start: int, end: int) -> tuple[int, int] | None:
-    piece = text[start:end]
-    if not piece.strip():
-        return None
-    return start + len(piece) - len(piece.lstrip()), end - len(piece) + len(piece.rstrip())
-
-
 def units(text: str | None) -> list[tuple[int, int, bool]]:
     """(start, end, code) of the units, in characters. A blank text has none; a text without blocks is one."""
     text = text or ""
@@ -171,22 +173,11 @@ def units(text: str | None) -> list[tuple[int, int, bool]]:
     for raw in text.split("\n"):
         lines.append((at, at + len(raw)))
         at += len(raw) + 1
-    found = _Blocks(text)
-    found.read(lines)
-    leaves = list(found.leaves)
-    for start, end in sorted(found.items, key=lambda x: x[1] - x[0]):
-        nested = [leaf[0] for leaf in leaves if leaf[0] >= start and leaf[1] <= end]
-        cut = min(nested, default=end)
-        if not nested or text[start:cut].strip():
-            leaves.append((start, cut, False))
-    out: list[tuple[int, int, bool]] = []
-    for start, end, code in sorted(leaves, key=lambda x: x[:2]):
-        place = _trimmed(text, start, end)
-        if place and not (out and place[0] >= out[-1][0] and place[1] <= out[-1][1]):
-            out.append((*place, code))
-    if not out and (place := _trimmed(text, 0, len(text))):
-        out.append((*place, False))
-    return out
+    reader = _Blocks(text)
+    reader.read(lines)
+    if not reader.units:
+        reader.write(0, len(text))
+    return reader.units
 
 
 _END = re.compile(r"[.!?؟؛\n](?=\s|\Z)")
@@ -195,7 +186,7 @@ _END = re.compile(r"[.!?؟؛\n](?=\s|\Z)")
 def sentences(text: str, code: bool = False) -> list[str]:
     """Pieces of a unit's text: sentences with their terminators, or runs of CODE_LINES lines of code."""
     if code:
-        lines = text.splitlines(keepends=True)
+        lines = re.findall(r"[^\n]*\n|[^\n]+", text)
         pieces = ["".join(lines[i : i + CODE_LINES]) for i in range(0, len(lines), CODE_LINES)]
     else:
         pieces, at = [], 0

@@ -1,7 +1,7 @@
 """The catalog: memories under a home folder, each an append-only series of Parquet segments.
 
 A write adds one segment, complete before its marker appears, so readers never see half of it. A segment may
-replace messages of earlier ones. Everything derived from a message depends on that message alone, except
+replace messages of earlier ones, or supersede earlier segments as a whole: its marker does both, in one step. Everything derived from a message depends on that message alone, except
 document frequencies, which are sums over segments; so a write never touches old data, and a rescan
 compacts all into one segment. Files are reached through Hadoop, so the home may be in any store."""
 
@@ -12,7 +12,6 @@ import re
 import time
 import uuid
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,7 +74,12 @@ class Store:
         out.close()
 
     def _get(self, path: str) -> dict:
-        return json.loads("\n".join(r[0] for r in self.spark.read.text(path, wholetext=True).collect()))
+        fs, p = self._fs(path)
+        stream = fs.open(p)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
     def _remove(self, path: str) -> None:
         fs, p = self._fs(path)
@@ -143,39 +147,60 @@ class Store:
 
     # segments
 
-    def segments(self, name: str) -> list[str]:
+    def _markers(self, name: str) -> dict[str, dict]:
+        """The markers of the segments that are complete and not superseded, in order."""
         root = self._at(name, "segments")
-        return [s for s in self._children(root) if self._exists(f"{root}/{s}/done.json")]
+        found = {x: self._get(f"{root}/{x}/done.json") for x in self._children(root) if self._exists(f"{root}/{x}/done.json")}
+        gone = {x for marker in found.values() for x in marker.get("supersedes", [])}
+        return {x: marker for x, marker in found.items() if x not in gone}
+
+    def segments(self, name: str) -> list[str]:
+        return list(self._markers(name))
+
+    def leftovers(self, name: str) -> list[str]:
+        """Folders of segments that readers don't see: superseded ones, and those of writers that failed or aren't done."""
+        return sorted(set(self._children(self._at(name, "segments"))) - set(self._markers(name)))
+
+    def _claimed(self, name: str, first: int) -> int:
+        """A number from `first` on that no other writer has: who creates its file owns it."""
+        while True:
+            fs, p = self._fs(self._at(name, "numbers", f"{first:010d}"))
+            if fs.createNewFile(p):
+                return first
+            first += 1
 
-    def write(self, name: str, tables: dict[str, DataFrame], key: str | None = None, replaces: list[str] | None = None) -> str:
+    def write(self, name: str, tables: dict[str, DataFrame], key: str | None = None, replaces: list[str] | None = None, supersedes: list[str] | None = None) -> str:
         """A new segment; with a key that has been written before, nothing is done: a retried batch counts once.
-        replaces: ids of messages in earlier segments that it takes the place of."""
+        replaces: ids of messages in earlier segments that it takes the place of; supersedes: earlier segments that it
+        takes the place of, from the moment that it is complete."""
         done = self.segments(name)
-        number = max((int(s.split("-")[0]) for s in done), default=-1) + 1
         again = next((s for s in done if key and s.split("-", 1)[1] == key), None)
         if again:
             return again
+        number = self._claimed(name, max((int(s.split("-")[0]) for s in done), default=-1) + 1)
         segment = f"{number:010d}-{key or uuid.uuid4().hex[:8]}"
         for table, rows in tables.items():
             rows.write.mode("overwrite").parquet(self._at(name, "segments", segment, table))
-        self._put(self._at(name, "segments", segment, "done.json"), {"replaces": replaces or []})
+        self._put(self._at(name, "segments", segment, "done.json"), {"replaces": replaces or [], "supersedes": supersedes or []})
         return segment
 
     def drop_segments(self, name: str, segments: list[str]) -> None:
+        """Removes superseded segments; until then they only cost space."""
         for s in segments:
-            self._remove(self._at(name, "segments", s, "done.json"))
             self._remove(self._at(name, "segments", s))
 
     def read(self, name: str, table: str, schema: str) -> DataFrame:
-        """The rows of all segments without those that a later segment replaces, by their message_id."""
+        """The rows of all segments, in one scan, without those that a later segment replaces, by their message_id."""
         self.memory(name)
-        segments = self.segments(name)
-        if not segments:
+        markers = self._markers(name)
+        if not markers:
             return self.spark.createDataFrame([], schema)
-        parts, gone = [], set()
-        for s in reversed(segments):
-            rows = self.spark.read.schema(schema).parquet(self._at(name, "segments", s, table))
-            parts.append((rows, frozenset(gone)))
-            gone |= set(self._get(self._at(name, "segments", s, "done.json"))["replaces"])
-        kept = [rows.where(~F.col("message_id").isin(*out)) if out else rows for rows, out in reversed(parts)]
-        return reduce(DataFrame.unionByName, kept)
+        rows = self.spark.read.schema(schema).parquet(*[self._at(name, "segments", s, table) for s in markers])
+        last = {m: int(s.split("-")[0]) for s, marker in markers.items() for m in marker["replaces"]}
+        if not last or "message_id" not in rows.columns:  # statistics have the replaced messages taken off
+            return rows
+        columns = rows.columns
+        number = F.regexp_extract(F.col("_metadata.file_path"), rf"/segments/(\d+)-[^/]*/{table}/[^/]*$", 1).cast("long")
+        gone = self.spark.createDataFrame(list(last.items()), "replaced string, number long")
+        rows = rows.withColumn("segment_number", number)
+        return rows.join(gone, (rows["message_id"] == gone["replaced"]) & (rows["segment_number"] < gone["number"]), "left_anti").select(*columns)
