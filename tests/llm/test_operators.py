@@ -10,7 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from parley.llm import bpe, exact_dedup, graph, html_text, jaccard_join, language, mixing, near_vectors, passages, quality, secrets, wordhash
+from parley.llm import bpe, exact_dedup, graph, html_text, jaccard_join, language, mixing, near_vectors, passages, quality, queries, secrets, wordhash
 
 SF = "/root/testdata/sf0.001"
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -436,6 +436,21 @@ def test_near_duplicates_of_odd_rows(spark, nothing):
     assert jaccard_join.without_near_duplicates(nothing).isEmpty()
 
 
+# SQL
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_against_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    ours, theirs = queries.QUERIES[name](spark, SF).toPandas(), con.execute(queries.ORACLE[name]).df()
+    told = lambda f: sorted(tuple(str(v) for v in r) for r in f[sorted(f.columns)].itertuples(index=False))
+    assert sorted(ours.columns) == sorted(theirs.columns) and told(ours) == told(theirs)
+
+
 # the pipeline
 
 CLASH = "told_rejected boolean, told__score string, sha string, size string, n string, id string, at string, row string, key string, mix_id int, kept_id int, spans int, identified int, gone_id int, gone_row int"
