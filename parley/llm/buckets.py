@@ -32,8 +32,8 @@ def pair(x: str | Column, y: str | Column) -> tuple[Column, Column]:
 class Buckets:
     """members: (token, m, key, *extra), m the number of keys in the bucket `token`, more than 1. could and possible tell from two
     members' extra values whether they could be similar, as Columns and as arrays (a column and a row). verified keeps of
-    distinct pairs (a, b), a < b, those that are linked. small: rows of a small bucket. sketches: (key, n, sketch); close tells
-    from two rows of sketches and their n whether the members could be similar."""
+    distinct pairs (a, b), a < b, those that are linked. small: rows of a small bucket. sketches gives (key, sketch) of the keys
+    asked for; close tells from the rows of two arrays of sketches, and the members' n, whether they could be similar."""
 
     members: DataFrame
     verified: Callable[[DataFrame], DataFrame]
@@ -41,7 +41,7 @@ class Buckets:
     possible: Callable[[dict, dict], np.ndarray]
     extra: tuple[str, ...]
     small: int = 8
-    sketches: DataFrame | None = None
+    sketches: Callable[[DataFrame], DataFrame] | None = None
     close: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray] | None = None
     block: int = field(default_factory=lambda: BLOCK)
 
@@ -80,7 +80,7 @@ class Buckets:
         several = per.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
         # far: not of the bucket's largest component
         rows = where.join(several.select("token", F.col("main.comp").alias("main")), "token").withColumn("far", F.col("comp") != F.col("main"))
-        rows = rows if self.sketches is None else rows.join(self.sketches.select("key", "sketch"), "key")
+        rows = rows if self.sketches is None else rows.join(self.sketches(rows.select("key").distinct()), "key")
         rows = rows.withColumn("parts", F.ceil(F.col("m") / self.block).cast("int")).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
         blocks = rows.groupBy("token", "parts", "part").agg(F.collect_list(F.struct(*columns)).alias("b"))
         blocks = materialise(blocks.withColumn("any", F.exists("b", lambda x: x["far"])), "bucket-blocks")
@@ -92,8 +92,11 @@ class Buckets:
 
 
 def closest(close, a: dict, b: dict, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """close() of pairs of rows, some at a time."""
-    return np.concatenate([np.zeros(0, bool), *[close(a["sketch"][x[i : i + 4096]], b["sketch"][y[i : i + 4096]], a["n"][x[i : i + 4096]], b["n"][y[i : i + 4096]]) for i in range(0, len(x), 4096)]])
+    """close() of pairs of rows, some at a time. Without n the sketches' sums count."""
+    size_a, size_b = (d["n"] if "n" in d else d["sketch"].sum(axis=1, dtype=np.int64) for d in (a, b))
+    step = 4096
+    parts = [close(a["sketch"][x[i : i + step]], b["sketch"][y[i : i + step]], size_a[x[i : i + step]], size_b[y[i : i + step]]) for i in range(0, len(x), step)]
+    return np.concatenate([np.zeros(0, bool), *parts])
 
 
 def meet(a: dict, b: dict, possible: Callable[[dict, dict], np.ndarray], most: int, close=None) -> tuple[np.ndarray, ...]:

@@ -257,7 +257,7 @@ class _Join:
             return (np.minimum(a["n"], b["n"]) >= need) & (a["i"] <= a["n"] - need) & (b["i"] <= b["n"] - need)
 
         near = lambda a, b, n_a, n_b: close(a, b, n_a, n_b, percent)
-        return Buckets(members, self.verified, could, possible, ("n", "i"), SMALL, self.prefixes, near, BLOCK).components()
+        return Buckets(members, self.verified, could, possible, ("n", "i"), SMALL, lambda keys: self.prefixes.select("key", "sketch"), near, BLOCK).components()
 
     def told(self) -> DataFrame:
         """(id, at, n, best) of each document: the row that stays of its component."""

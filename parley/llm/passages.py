@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .buckets import Buckets
 from .common import fresh_name, materialise
+from .jaccard_join import CELLS, close
 from .wordhash import BASE, groups, mix64, texts_words
 
 #: Words of a paragraph, words of a shingle, anchor distance, least similarity in percent, rows of a small bucket.
@@ -99,8 +100,11 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tell = lambda k, d: k.astype(np.uint64) ^ mix64(d.astype(np.uint64))
             hit = np.flatnonzero(np.isin(tell(key, doc), tell(np.concatenate([np.asarray(k, np.int64) for k in asked]), of)))
             sets = [np.unique(run[a : a + PARAGRAPH - WIDTH + 1]).astype(np.uint32).astype(np.int32) for a in anchor[hit]]
+            cells = np.zeros((len(sets), CELLS), np.uint16)
+            for row, some in zip(cells, sets, strict=True):
+                np.add.at(row, some & (CELLS - 1), 1)
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int32), *sets])))
-            yield pa.RecordBatch.from_arrays([pa.array(key[hit]), lists], ["key", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[hit]), lists, pa.array([row.tobytes() for row in cells], pa.binary())], ["key", "s", "sketch"])
 
 
 def paragraph_components(rows: DataFrame) -> DataFrame:
@@ -119,13 +123,17 @@ def paragraph_components(rows: DataFrame) -> DataFrame:
     members = materialise(members.join(several, "token"), "paragraph-members")
     sets: list[DataFrame] = []
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        asked = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    def fetched(asked: DataFrame) -> DataFrame:
+        """(key, s, sketch) of the paragraphs asked for, and of those that were before."""
         for known in sets:
             asked = asked.join(known, "key", "left_anti")
         asked = asked.join(classes.select("key", "low"), "key").groupBy(F.col("low").alias("id")).agg(F.collect_list("key").alias("keys"))
-        sets.append(materialise(rows.join(asked, "id").select("text", "keys").mapInArrow(_fetch, "key bigint, s array<int>").dropDuplicates(["key"]), "paragraph-sets"))
-        every = reduce(DataFrame.unionByName, sets)
+        got = rows.join(asked, "id").select("text", "keys").mapInArrow(_fetch, "key bigint, s array<int>, sketch binary")
+        sets.append(materialise(got.dropDuplicates(["key"]), "paragraph-sets"))
+        return reduce(DataFrame.unionByName, sets)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        every = fetched(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct())
         both = pairs.join(every.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a").join(every.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b")
         same = F.size(F.array_intersect("sa", "sb"))
         return materialise(both.where(same * 100 >= PERCENT * (F.size("sa") + F.size("sb") - same)).select("a", "b"), "paragraph-links")
@@ -133,7 +141,8 @@ def paragraph_components(rows: DataFrame) -> DataFrame:
     # two paragraphs that one document alone has aren't compared
     could = lambda x, y: ~((x("low") == x("high")) & (y("low") == y("high")) & (x("low") == y("low")))
     possible = lambda a, b: ~((a["low"] == a["high"]) & (b["low"] == b["high"]) & (a["low"] == b["low"]))
-    parts = Buckets(members, verified, could, possible, ("low", "high"), SMALL).components()
+    near = lambda a, b, n_a, n_b: close(a, b, n_a, n_b, PERCENT)
+    parts = Buckets(members, verified, could, possible, ("low", "high"), SMALL, lambda keys: fetched(keys).select("key", "sketch"), near).components()
     return classes.join(parts.withColumnRenamed("node", "key"), "key", "left").select("key", "low", "high", F.coalesce("component", "key").alias("component"))
 
 
