@@ -10,7 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from parley.llm import bpe, exact_dedup, graph, html_text, jaccard_join, language, mixing, near_vectors, passages, quality, queries, secrets, wordhash
+from parley.llm import bpe, buckets, exact_dedup, graph, html_text, jaccard_join, language, mixing, near_vectors, passages, quality, queries, secrets, wordhash
 
 SF = "/root/testdata/sf0.001"
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -167,6 +167,35 @@ def test_passage_links_against_brute_force(spark, monkeypatch):
     assert sum(got[a].component == got[b].component for a, b in links) >= 0.97 * len(links)
 
 
+def test_passage_parts():
+    """Two similar sets have a part in common, whatever their sizes; similar() is the exact Jaccard similarity."""
+    rng, many = random.Random(1), 0
+    padded = lambda s: sorted([*s, *[min(s)] * (passages.RUNS - len(s))])
+    for _ in range(3000):
+        a = set(rng.sample(range(2**32), rng.randint(1, passages.RUNS)))
+        b = set(rng.sample(sorted(a), max(1, len(a) - rng.randrange(4)))) | {rng.randrange(2**32) for _ in range(rng.randrange(4))}
+        if len(b) > passages.RUNS:
+            continue
+        x, y = np.array([padded(a)], np.uint32), np.array([padded(b)], np.uint32)
+        assert passages.similar(x, y)[0] == (100 * len(a & b) >= passages.PERCENT * len(a | b))
+        if passages.similar(x, y)[0]:
+            row, part, _ = passages.parts_of(np.concatenate([x, y]))
+            many += 1
+            assert set(part[row == 0]) & set(part[row == 1])
+    assert many > 1000
+
+
+def test_passage_meetings_pass_on_links_only():
+    """Of a group of near copies that are no links nothing is passed on; of one that links, one row less than it has members."""
+    any_ = lambda a, b: np.ones(np.broadcast_shapes(a["comp"].shape, b["comp"].shape), bool)
+    for changed, want in ((4, 0), (1, 299)):
+        base = np.arange(passages.RUNS, dtype=np.uint32)
+        s = np.stack([np.sort(np.concatenate([base[changed:], 1000 + changed * i + np.arange(changed, dtype=np.uint32)])) for i in range(300)]).astype(np.uint32)
+        block = {"key": np.arange(300), "comp": np.arange(300), "far": np.ones(300, bool), "s": s}
+        a, b = buckets.links(block, block, any_, passages.similar)
+        assert len(a) == len(b) == want
+
+
 def test_passages_keep_one_copy(spark):
     """Overlapping paragraphs of a passage link with each other; the smallest document keeps them all."""
     rng = random.Random(3)
