@@ -27,6 +27,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import kept
 from .wordhash import groups
 
 #: How a byte-level vocabulary splits text before merging (fixed by the vocabulary).
@@ -320,13 +321,8 @@ def load(path: str) -> Automaton:
     return Automaton(d["model"]["vocab"], merges, special)
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def _encoder(name: str) -> Encoder:
-    if name not in _encoders:
-        _encoders[name] = Encoder(load(SparkFiles.get(name)))
-    return _encoders[name]
+    return kept(f"bpe {name}", lambda: Encoder(load(SparkFiles.get(name))))
 
 
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +19,27 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 _own_dir: list[str] = []
 
+#: What a Python worker keeps from task to task.
+_kept: dict[str, Any] = {}
+
+
+def kept(name: str, make: Callable[[], Any]) -> Any:
+    if name not in _kept:
+        _kept[name] = make()
+    return _kept[name]
+
+
+def release() -> None:
+    """Drops what a worker keeps and gives the memory back. Spark hands workers on from one operator to the next, so an operator
+    that needs much memory itself calls this in its tasks, lest it also holds the tables of an earlier one."""
+    if not _kept:
+        return
+    _kept.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

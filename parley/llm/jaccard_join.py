@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import Buckets
-from .common import materialise
+from .common import materialise, release
 from .wordhash import groups, mix64, shingles, texts_words
 
 #: The most ids, of 16 bytes, that are broadcast.
@@ -71,6 +71,7 @@ def _profile(width: int):
     names = ["id", "at", "key", "n", "bucket", "count"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         total = np.zeros(1 << COUNT_BITS, np.int64)
         for b in batches:
             keys, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -123,6 +124,7 @@ def _prefixes(width: int, percent: int, shared):
     """(key, n, p, sketch) of documents with words; p: the places of their prefix shingles in the first order, ascending."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         classes, heavy = shared.value
         for b in batches:
             for s, at in _sets(b.column("text").to_pylist(), width):
@@ -140,6 +142,7 @@ def _often(width: int, percent: int, shared):
     """The prefix shingles of each document under the first order, by their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         classes, heavy = shared.value
         for b in batches:
             for s, at in _sets(b.column("text").to_pylist(), width):
@@ -155,6 +158,7 @@ def _often(width: int, percent: int, shared):
 
 def _plausible(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             if not b.num_rows:
                 continue
@@ -175,6 +179,7 @@ def _whole(width: int, percent: int, shared):
         return pa.RecordBatch.from_arrays([*columns, _lists([s.astype(np.int64) for s in sets], np.int64)], ["key", "n", "p2", "p3", "s"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         classes, heavy = shared.value
         for b in batches:
             rows, size, asked = [], 0, b.column("key").to_numpy()

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_name
+from .common import fresh_name, release
 from .sampling import draw
 from .wordhash import BASE
 
@@ -157,6 +157,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", prefix: str
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def predict(texts: pd.Series) -> pd.DataFrame:
+        release()
         return pd.DataFrame(shared.value.nearest(texts.tolist()), columns=["lang_pred", "score", "rejected"])
 
     at = fresh_name(docs, "identified")

@@ -465,6 +465,15 @@ def test_near_duplicates_of_odd_rows(spark, nothing):
     assert jaccard_join.without_near_duplicates(nothing).isEmpty()
 
 
+def test_workers_drop_what_others_kept(monkeypatch):
+    """A worker that encoded before doesn't hold the encoder while it looks for near duplicates."""
+    monkeypatch.setattr(bpe.SparkFiles, "get", lambda name: VOCABULARY)
+    first = bpe._encoder("byte_bpe_50k.json")
+    assert bpe._encoder("byte_bpe_50k.json") is first
+    assert not list(jaccard_join._plausible(80)(iter([])))
+    assert bpe._encoder("byte_bpe_50k.json") is not first
+
+
 # SQL
 
 
